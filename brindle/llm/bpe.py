@@ -176,6 +176,35 @@ def whole_tokens(front: Front) -> tuple[dict[str, int], set[str]]:
     return whole, rest
 
 
+class WordEncoder:
+    """ids of whole texts for the word-end file, as little-endian uint32 bytes; merges by the library's model."""
+
+    def __init__(self, path: str):
+        self.front = WordFront(path)
+        self.known: dict[str, bytes] = {}
+
+    def ids_of(self, chunk: str) -> bytes:
+        if "<|" in chunk and any(s in chunk for s in self.front.special):
+            ids = self.front.library.encode(chunk, add_special_tokens=False).ids
+        else:
+            tokenize = self.front.library.model.tokenize
+            ids = [t.id for p in self.front.pieces(chunk) for t in tokenize(p)]
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        chunks, known = self.front.chunks(text), self.known
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
+        for c in {*chunks}.difference(known):
+            known[c] = self.ids_of(c)
+        return b"".join(map(known.__getitem__, chunks))
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 @lru_cache(maxsize=2)
 def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media_ogg import op5_media_ogg
 from .token_counts import op8_token_counts
+from .trie_bpe import op4_trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_trie_bpe": op4_trie_bpe,
         "op5_media_ogg": op5_media_ogg,
         "op8_token_counts": op8_token_counts,
     }
