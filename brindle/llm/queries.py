@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media_ogg import op5_media_ogg
+from .packing import op6_packing
 from .repair_shards import op7_repair_shards
 from .token_counts import op8_token_counts
 from .trie_bpe import op4_trie_bpe
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
     return {
         "op4_trie_bpe": op4_trie_bpe,
         "op5_media_ogg": op5_media_ogg,
+        "op6_packing": op6_packing,
         "op7_repair_shards": op7_repair_shards,
         "op8_token_counts": op8_token_counts,
     }
