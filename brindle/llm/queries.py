@@ -10,6 +10,7 @@ from .media_ogg import op5_media_ogg
 from .packing import op6_packing
 from .repair_shards import op7_repair_shards
 from .token_counts import op8_token_counts
+from .toxicity import op2_toxicity
 from .trie_bpe import op4_trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op4_trie_bpe": op4_trie_bpe,
         "op5_media_ogg": op5_media_ogg,
         "op6_packing": op6_packing,
