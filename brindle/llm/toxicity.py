@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, slices, texts_of
 
@@ -137,11 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, params: Ftrl = Ftrl
     return np.frombuffer(got[0]["at"], np.uint32), np.frombuffer(got[0]["w"], np.float32), got[0]["bias"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """All columns of docs and `score` (0 to 1) of the whole text; narrow."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column: str = "score") -> DataFrame:
+    """All columns of docs and `column` (0 to 1) of the whole text; narrow."""
     at, w, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((at, w))  # at most 2**BITS pairs
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = shared.value
@@ -154,7 +155,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                     f = h.features(t)
                     f = f[table[f] != 0]
                     out.append(sigmoid(float(table[np.unique(f)].sum(dtype=np.float64)) + bias))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, column])
 
     return docs.mapInArrow(run, schema)
 
