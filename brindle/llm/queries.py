@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media_ogg import op5_media_ogg
+from .near_dedup import op1_near_dedup
 from .order_minhash import op3_order_minhash
 from .packing import op6_packing
 from .repair_shards import op7_repair_shards
@@ -19,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_order_minhash": op3_order_minhash,
         "op4_trie_bpe": op4_trie_bpe,
