@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ef_lm import op10_ef_lm
 from .media_ogg import op5_media_ogg
 from .near_dedup import op1_near_dedup
 from .order_minhash import op3_order_minhash
@@ -28,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op6_packing": op6_packing,
         "op7_repair_shards": op7_repair_shards,
         "op8_token_counts": op8_token_counts,
+        "op10_ef_lm": op10_ef_lm,
     }
 
 
