@@ -11,6 +11,7 @@ from .media_ogg import op5_media_ogg
 from .near_dedup import op1_near_dedup
 from .order_minhash import op3_order_minhash
 from .packing import op6_packing
+from .pii import op9_pii
 from .repair_shards import op7_repair_shards
 from .token_counts import op8_token_counts
 from .toxicity import op2_toxicity
@@ -29,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op6_packing": op6_packing,
         "op7_repair_shards": op7_repair_shards,
         "op8_token_counts": op8_token_counts,
+        "op9_pii": op9_pii,
         "op10_ef_lm": op10_ef_lm,
     }
 
