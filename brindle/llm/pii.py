@@ -120,14 +120,15 @@ def _joined(kinds: tuple[str, ...], with_added: bool) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every span (base and added) of text_col replaced by its kind in brackets; other columns stay."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = materialize(marked, "pii-docs")
-    found = find_personal_data(marked.select(F.col("_row").alias("doc_id"), text_col), "doc_id", text_col)
+    row, spans = "__pii_row", "__pii_spans"
+    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pii-docs")
+    found = find_personal_data(marked, row, text_col)
     every = ", ".join([*(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'kind', '{k}'))" for k in KINDS), "transform(added, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))"])
-    # spans in order; one that begins inside an earlier one only moves its end
-    spans = found.select(F.col("doc_id").alias("_row"), F.expr(f"array_sort(concat({every}))").alias("_spans")).where("size(_spans) > 0")
-    out = f"aggregate(_spans, named_struct('at', 0, 'got', ''), (a, x) -> case when x.s >= a.at then named_struct('at', x.e, 'got', concat(a.got, substring({text_col}, a.at + 1, x.s - a.at), '[', x.kind, ']')) else named_struct('at', greatest(a.at, x.e), 'got', a.got) end, a -> concat(a.got, substring({text_col}, a.at + 1)))"
-    return marked.join(spans, "_row", "left").withColumn(text_col, F.expr(f"case when _spans is null then {text_col} else {out} end")).drop("_row", "_spans")
+    # in order of start; a span that begins inside an earlier one only moves its end
+    found = found.select(F.col("doc_id").alias(row), F.expr(f"array_sort(concat({every}))").alias(spans)).where(F.size(spans) > 0)
+    t = f"`{text_col}`"
+    out = f"aggregate({spans}, named_struct('at', 0, 'got', ''), (a, x) -> case when x.s >= a.at then named_struct('at', x.e, 'got', concat(a.got, substring({t}, a.at + 1, x.s - a.at), '[', x.kind, ']')) else named_struct('at', greatest(a.at, x.e), 'got', a.got) end, a -> concat(a.got, substring({t}, a.at + 1)))"
+    return marked.join(found, row, "left").withColumn(text_col, F.expr(f"case when {spans} is null then {t} else {out} end")).drop(row, spans)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
