@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
-import numpy as np
 import regex
 
 #: Distinct chunks that a Python worker remembers; beyond it the cache starts anew (memory bound).
@@ -35,6 +35,13 @@ def byte_alphabet() -> dict[int, str]:
 
 
 ALPHABET = byte_alphabet()
+#: Marks that are a pre-token of their own right after a word.
+MARKS = frozenset(".,;:!?")
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian uint32."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def as_alphabet(piece: str) -> str:
@@ -131,20 +138,29 @@ class ByteEncoder:
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
-    def ids_of(self, chunk: str) -> bytes:
+    def piece_ids(self, piece: str) -> list[int]:
+        """ids of one pre-token (real characters)."""
+        if (one := self.whole.get(as_alphabet(piece))) is not None:
+            return [one]
+        return self.merge(piece.encode("utf-8"))
+
+    def ids_of(self, chunk: str, space: str = "") -> bytes:
+        """ids of a chunk that follows `space`; plain words, and words with one mark behind, need no pattern."""
+        if chunk and max(chunk) < "\u0250":
+            if chunk.isalpha():
+                return as_bytes(self.merge((space + chunk).encode("utf-8")))
+            if chunk[-1] in MARKS and (word := chunk[:-1]).isalpha():
+                return as_bytes(self.merge((space + word).encode("utf-8")) + self.piece_ids(chunk[-1]))
         out: list[int] = []
-        for p in self.front.pieces(chunk):
-            if (one := self.whole.get(p)) is not None:
-                out.append(one)
-            else:
-                out += self.merge(p.translate(self.back).encode("latin-1"))
-        return np.array(out, dtype="<u4").tobytes()
+        for p in self.front.pieces(space + chunk):
+            out += [self.whole[p]] if p in self.whole else self.merge(p.translate(self.back).encode("latin-1"))
+        return as_bytes(out)
 
     def encode(self, text: str) -> bytes:
         got: list[bytes] = []
         for k, segment in enumerate(self.front.segments(text)):
             if k % 2:
-                got.append(np.array([self.front.special[segment]], dtype="<u4").tobytes())
+                got.append(as_bytes([self.front.special[segment]]))
             elif segment:
                 head, rest = self.front.chunks(segment)
                 if (x := self.first.get(head)) is None:
@@ -152,7 +168,7 @@ class ByteEncoder:
                 got.append(x)
                 later = self.later
                 for c in {*rest}.difference(later):
-                    later[c] = self.ids_of(" " + c)
+                    later[c] = self.ids_of(c, " ")
                 got += map(later.__getitem__, rest)
         if len(self.later) > CACHE_CHUNKS:
             self.later.clear()
@@ -189,7 +205,7 @@ class WordEncoder:
         else:
             tokenize = self.front.library.model.tokenize
             ids = [t.id for p in self.front.pieces(chunk) for t in tokenize(p)]
-        return np.array(ids, dtype="<u4").tobytes()
+        return as_bytes(ids)
 
     def encode(self, text: str) -> bytes:
         chunks, known = self.front.chunks(text), self.known

@@ -39,6 +39,10 @@ HEAD = struct.Struct("<8sIIIIQB")
 #: ids that a shard gathers before it is written; rounds, least count and most new rules a round of a grammar.
 SHARD_IDS, ROUNDS, LEAST, RULES_A_ROUND = 1 << 20, 3, 8, 5000
 
+#: Slots of the table that finds chosen pairs, and its multipliers.
+SLOT_BITS = 18
+FACTOR = {np.dtype(np.uint32): np.uint32(0x9E3779B1), np.dtype(np.uint64): np.uint64(0x9E3779B97F4A7C15)}
+
 
 def runs_to_take(hits: np.ndarray) -> np.ndarray:
     """Places to replace: of hits that overlap (neighbours), every other one from the left."""
@@ -74,20 +78,21 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEA
             chosen = np.sort(chosen[keep])
         if not len(chosen):
             break
-        shift = 16 if narrow else 32
-        left, right = (chosen >> shift).astype(np.uint32), (chosen & ((1 << shift) - 1)).astype(np.uint32)
-        may_left, may_right = np.zeros(first + n_rules + 1, bool), np.zeros(first + n_rules + 1, bool)
-        may_left[left], may_right[right] = True, True
-        maybe = np.flatnonzero(may_left[seq[:-1]] & may_right[seq[1:]])
-        found = np.searchsorted(chosen, keys[maybe])
-        found[found == len(chosen)] = 0
-        real = chosen[found] == keys[maybe]
-        hits = np.zeros(len(keys), bool)
-        hits[maybe[real]] = True
-        which = np.zeros(len(keys), np.uint32)
-        which[maybe[real]] = found[real]
+        # a table of one key a slot finds the chosen pairs; a key whose slot is taken waits for a later round
+        slot_of = lambda k: ((k * FACTOR[k.dtype]) >> k.dtype.type(8 * k.itemsize - SLOT_BITS)).astype(np.int32)
+        slots = slot_of(chosen)
+        _, once = np.unique(slots, return_index=True)
+        chosen, slots = chosen[np.sort(once)], slots[np.sort(once)]
+        table, number = np.zeros(1 << SLOT_BITS, keys.dtype), np.zeros(1 << SLOT_BITS, np.uint32)
+        table[slots], number[slots] = chosen, np.arange(len(chosen), dtype=np.uint32)
+        own = slot_of(keys)
+        hits = table[own] == keys
+        if chosen[0]:  # an empty slot holds 0, which is also the pair (0, 0)
+            hits &= keys != 0
+        shift = keys.dtype.type(16 if narrow else 32)
+        left, right = (chosen >> shift).astype(np.uint32), (chosen & ((keys.dtype.type(1) << shift) - keys.dtype.type(1))).astype(np.uint32)
         take = runs_to_take(hits)
-        seq[take] = first + n_rules + which[take]
+        seq[take] = number[own[take]] + np.uint32(first + n_rules)
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
         seq = seq[keep]
