@@ -103,7 +103,8 @@ def sample(labels: DataFrame, learn: Column, most_toxic: int, most_clean: int) -
     p1, p0 = min(1.0, most_toxic / n1) if n1 else 0.0, min(1.0, most_clean / n0) if n0 else 0.0
     share = F.when(F.col("toxic") == 1, p1).otherwise(p0)
     kept = rows.where((F.xxhash64("doc_id", F.lit(17)).cast("double") / 2.0**64 + 0.5) < share)
-    return kept.select("doc_id", "toxic", (1.0 / share).alias("weight")), (n1 / (n1 + n0) if n1 + n0 else 0.0)
+    weight = F.when(F.col("toxic") == 1, F.lit(1 / p1 if p1 else 0.0)).otherwise(F.lit(1 / p0 if p0 else 0.0))
+    return kept.select("doc_id", "toxic", weight.alias("weight")), (n1 / (n1 + n0) if n1 + n0 else 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, params: Ftrl = Ftrl(), most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> tuple[np.ndarray, np.ndarray, float]:
