@@ -197,16 +197,26 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.front = WordFront(path)
+        self.tokenize = self.front.library.model.tokenize
         self.known: dict[str, bytes] = {}
 
     def ids_of(self, chunk: str) -> bytes:
         if "<|" in chunk and any(s in chunk for s in self.front.special):
             ids = self.front.library.encode(chunk, add_special_tokens=False).ids
         else:
-            tokenize = self.front.library.model.tokenize
-            ids = [t.id for p in self.front.pieces(chunk) for t in tokenize(p)]
+            tokenize = self.tokenize
+            ids = [t.id for p in self.quick(chunk) for t in tokenize(p)]
         return as_bytes(ids)
 
+    def quick(self, chunk: str) -> list[str]:
+        """Pre-tokens; plain words, and words with one mark behind, need no pattern."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1] in MARKS and (word := chunk[:-1]).isalpha():
+                return [word.lower(), chunk[-1]]
+        return self.front.pieces(chunk)
+
     def encode(self, text: str) -> bytes:
         chunks, known = self.front.chunks(text), self.known
         if len(known) > CACHE_CHUNKS:
