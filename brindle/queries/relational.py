@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import table, tables
@@ -301,7 +301,11 @@ by_sql("extra_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM
 
 # -- windows -------------------------------------------------------------------------------------------------------
 
-O_ORDER = [asc("o_orderdate"), asc("o_orderkey")]
+
+
+def by_date() -> list[Column]:
+    return [asc("o_orderdate"), asc("o_orderkey")]
+
 
 
 @query("window_whole_partition", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, max(o_totalprice) OVER (PARTITION BY o_custkey) AS m FROM orders")
@@ -312,13 +316,13 @@ def whole(spark: SparkSession, d: str) -> DataFrame:
 
 @query("window_running", "SELECT o_orderkey, CAST(sum(o_orderkey) OVER w AS BIGINT) AS s, min(o_totalprice) OVER w AS mn FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def running(spark: SparkSession, d: str) -> DataFrame:
-    w = rows_frame(["o_custkey"], O_ORDER)
+    w = rows_frame(["o_custkey"], by_date())
     return table(spark, d, "orders").select("o_orderkey", F.sum("o_orderkey").over(w).alias("s"), F.min("o_totalprice").over(w).alias("mn"))
 
 
 @query("window_moving", "SELECT o_orderkey, CAST(sum(o_orderkey) OVER w AS BIGINT) AS s, min(o_totalprice) OVER w AS mn, max(o_totalprice) OVER w AS mx, count(*) OVER w AS n, round(avg(o_orderkey) OVER w, 6) AS a FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
 def moving(spark: SparkSession, d: str) -> DataFrame:
-    w = rows_frame(["o_orderstatus"], O_ORDER, -2, 1)
+    w = rows_frame(["o_orderstatus"], by_date(), -2, 1)
     return table(spark, d, "orders").select("o_orderkey", F.sum("o_orderkey").over(w).alias("s"), F.min("o_totalprice").over(w).alias("mn"), F.max("o_totalprice").over(w).alias("mx"), F.count("*").over(w).alias("n"), F.round(F.avg("o_orderkey").over(w), 6).alias("a"))
 
 
