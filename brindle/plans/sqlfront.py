@@ -175,18 +175,24 @@ def set_null_order(sql: str) -> str:
 
 
 class Engine:
-    """Facade: tables, SQL, imports.  `persist` decides whether create_table goes to the warehouse or a temp view."""
+    """Facade: tables, SQL, imports.  `persist` decides whether create_table goes to the warehouse or a temp view.
+
+    Tables of `sf_dir` become views when a statement first names them, so no other table's files are touched.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str | None = None):
-        self.spark, self.persist = spark, False
-        if sf_dir:
-            register_views(spark, sf_dir, TABLES)
+        self.spark, self.persist, self.sf_dir = spark, False, sf_dir
+        self.known: set[str] = set()
 
     def sql(self, text: str) -> DataFrame:
+        if self.sf_dir and (new := {t.strip('`"').lower() for t in tokens(text)}.intersection(TABLES) - self.known):
+            register_views(self.spark, self.sf_dir, sorted(new))
+            self.known |= new
         return self.spark.sql(set_null_order(rewrite_quantified(text.strip().rstrip(";"))))
 
     def add_table(self, name: str, table: pa.Table | DataFrame) -> None:
         df = io.from_arrow(self.spark, table) if isinstance(table, pa.Table) else table
+        self.known.add(name.lower())
         if self.persist:
             df.write.mode("overwrite").saveAsTable(name)
         else:
