@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one Python step works on at a time; long texts make shorter slices.
 SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
@@ -47,6 +48,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, tag: str, *more: Column) -> tuple[DataFrame, dict]:
+    """As materialize; also the number of rows (and further aggregates), observed by the writing job itself."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), *more), tag)
+    return out, seen.get
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that no slice holds much more than SLICE_BYTES of `column`."""
     n = batch.num_rows

@@ -1,6 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Nothing is collected but two counters a round; every round is written to the shared folder.  A hub's
+Nothing is collected but two counters a round, observed by the job that writes the round to the shared
+folder.  A hub's
 neighbours are never gathered into one row: a step joins edges with an aggregated minimum.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize_counted
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -20,16 +21,15 @@ def _with_least(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the least node reachable."""
-    e = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _with_least(large)
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialize(nxt, "cc")
         # the sum is a hash of the edge set; equal twice means that the stars stand
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e, state = materialize_counted(nxt, "cc", F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))
         if state == before:
             break
         before = state

@@ -8,8 +8,10 @@ candidates, which are confirmed on full sets.
 
 Copies (equal sets) become one class first.  Classes that share a band bucket are compared with one leader
 of the bucket, not with each other; a bucket whose members are then in one component is done.  In the
-others further leaders are taken, and at last the remaining pairs of different components are compared, so no
-link is lost within a bucket.  Components come from star contraction.  No pair list of a group, set or
+others a second leader is taken.  What then still shares a bucket across components goes through an exact
+prefix filter: with shingles ordered from rare to frequent, two sets that are similar enough share one
+among the first few of each, so a line or passage that very many documents have makes no pairs.  No link
+between documents that share a bucket is lost.  Components come from star contraction.  No pair list of a group, set or
 component is ever collected; sets are built in a second pass only for classes that share a bucket, chosen
 by a bitmap of fixed size.
 
@@ -26,17 +28,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices, texts_of
+from .common import documents, materialize, materialize_counted, slices, texts_of
 from .components import connected_components
 
 #: 42 bands of 6: a pair at 0.8 is missed once in 3e5, one at 0.85 once in 4e8.
 COORDINATES, BANDS, ROWS = 256, 42, 6
 #: Bits of the bitmap that chooses whose sets are built (2 MB); when it is full, more sets are built than needed.
 FILTER_BITS = 24
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 #: Pairs up to this many may be broadcast (16 bytes each) to pick sets.
 FEW_PAIRS = 50_000
 
@@ -182,10 +184,41 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame, classes: DataFrame) ->
     return materialize(built.groupBy("node").agg(F.any_value("blob").alias("blob")), "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of those pairs whose sets have 100 * intersection >= percent * union."""
-    pairs = materialize(pairs, "pairs")
-    if pairs.count() <= FEW_PAIRS:
+def _prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components whose sets may be similar enough: they share a shingle among their prefixes.
+
+    With s = percent / 100 the prefix of a set of n has n - ceil(s n) + 1 shingles, those in fewest live sets
+    first; of the smaller set n - ceil(2 s n / (1 + s)) + 1 are enough.  What can still follow the shared
+    shingle must make up the intersection that is needed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grow = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = unsqueezed(batch.column(2)[r].as_py(), grow)
+                node, component = (pa.array(np.full(len(x), batch.column(c)[r].as_py())) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([node, component, pa.array(np.full(len(x), len(x))), pa.array(x.astype(np.int64))], names=["node", "component", "n", "shingle"])
+
+    each, _ = materialize_counted(live.join(sets, "node").select("node", "component", "blob").mapInArrow(run, "node long, component long, n long, shingle long"), "shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node").orderBy("often", "shingle")
+    ranked = each.join(often, "shingle").withColumn("place", F.row_number().over(order))
+    whole = 100 + percent
+    probe, index = f"n - (({percent} * n + 99) div 100) + 1", f"n - (({2 * percent} * n + {whole - 1}) div {whole}) + 1"
+    ranked = ranked.where((F.col("place") <= F.expr(probe)) & (F.col("often") > 1)).select("shingle", "node", "component", "n", "place")
+    x, y = ranked.where(F.col("place") <= F.expr(index)).alias("x"), ranked.alias("y")
+    need = f"({percent} * (x.n + y.n) + {whole - 1}) div {whole}"
+    met = x.join(y, F.expr(f"x.shingle = y.shingle and x.component <> y.component and (x.n < y.n or (x.n = y.n and x.node < y.node)) and 100 * x.n >= {percent} * y.n and 1 + least(x.n - x.place, y.n - y.place) >= {need}"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """(a, b), and how many, of those pairs whose sets have 100 * intersection >= percent * union."""
+    pairs, seen = materialize_counted(pairs, "pairs")
+    if not seen["rows"]:
+        return pairs, 0
+    if seen["rows"] <= FEW_PAIRS:
         names = F.broadcast(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         sets = sets.join(names, "node", "left_semi")
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("blob").alias("blob_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")), "a").select("a", "b", "blob_a", "blob_b")
@@ -208,7 +241,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     b.append(batch.column(1)[r].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return materialize(joined.mapInArrow(run, "a long, b long"), "links")
+    links, seen = materialize_counted(joined.mapInArrow(run, "a long, b long"), "links")
+    return links, seen["rows"]
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,17 +268,16 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         live = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("leader")).where("lo < hi").select("key", "leader")
         m = m.join(live, "key")
         if turn < LEADER_ROUNDS:
-            m = materialize(m, "live")
+            m, seen = materialize_counted(m, "live")
             pairs = m.where("node <> leader.node and component <> leader.component").where(fits("n", "leader.n")).select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
             buckets = m.where("node <> leader.node").select("key", "node", "n", "first_id")
         else:
-            m = materialize(m.select("key", "node", "n", "component"), "live")
-            x, y = m.alias("x"), m.alias("y")
-            pairs = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.component <> y.component")).where(fits("x.n", "y.n")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        if m.isEmpty():
+            m, seen = materialize_counted(m.select("node", "component").distinct(), "live")
+            pairs = _prefix_pairs(m, sets, percent)
+        if not seen["rows"]:
             break
-        links = _confirmed(pairs, sets, percent)
-        if links.isEmpty():
+        links, n_links = _confirmed(pairs, sets, percent)
+        if not n_links:
             continue
         if merged is None:
             merged = materialize(connected_components(links), "merged")
