@@ -55,7 +55,7 @@ SEEDS = _mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E
 class Shingler:
     """Text -> sorted distinct 64-bit shingle hashes."""
 
-    def __init__(self, width: int, most: int = 600_000):
+    def __init__(self, width: int, most: int = 350_000):
         self.width, self.known, self.most = width, {}, most
 
     def __call__(self, text: str) -> np.ndarray:

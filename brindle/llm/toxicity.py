@@ -45,7 +45,7 @@ class Ftrl:
 class Hasher:
     """Text -> distinct feature numbers; word hashes are remembered up to a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.known, self.most = {}, most
 
     def word(self, chunk: str) -> int:
