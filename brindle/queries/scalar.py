@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import table
+from ..catalog import table, tables
 from ..functions import scalars
 from ..plans.iterate import kmeans, pagerank
 from ..streaming.windows import windowed_counts
@@ -106,8 +106,11 @@ def random(spark: SparkSession, d: str) -> DataFrame:
 
 @query("loop_pagerank")
 def ranks(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "orders").where("o_orderkey % 11 = 0").select((F.col("o_custkey") % 40).alias("src"), ((F.col("o_orderkey") * 7) % 40).alias("dst"))
-    return pagerank(e, rounds=10).select("id", F.round("rank", 9).alias("rank"))
+    """Customers and the parts they ordered, linked both ways; ids are the real keys behind c or p."""
+    o, li = tables(spark, d, "orders", "lineitem")
+    bought = li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).dropna().distinct()
+    e = bought.unionByName(bought.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return pagerank(e, rounds=10).select("id", F.round("rank", 15).alias("rank"))
 
 
 @query("loop_kmeans")

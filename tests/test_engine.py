@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
@@ -139,6 +140,22 @@ def test_pagerank_sums_to_one_and_matches_brute_force(spark):
     assert got == pytest.approx(rank) and sum(got.values()) == pytest.approx(1)
 
 
+def test_registered_pagerank_takes_every_order_and_real_keys(spark, sf):
+    from brindle.queries.scalar import ranks
+
+    got = {r["id"]: r["rank"] for r in ranks(spark, sf).collect()}
+    bought = duckdb.sql(f"SELECT DISTINCT 'c' || o_custkey, 'p' || l_partkey FROM '{sf}/orders.parquet' JOIN '{sf}/lineitem.parquet' ON l_orderkey = o_orderkey").fetchall()
+    edges = [*bought, *((b, a) for a, b in bought)]
+    nodes = {a for a, _ in edges}
+    degree, rank = Counter(a for a, _ in edges), dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(10):
+        new = dict.fromkeys(nodes, 0.15 / len(nodes))
+        for a, b in edges:
+            new[b] += 0.85 * rank[a] / degree[a]
+        rank = new
+    assert len(got) > 40 and got == pytest.approx(rank, abs=1e-12)
+
+
 def test_kmeans(spark):
     points = [(0.0, 0.0), (1.0, 0.0), (10.0, 10.0), (11.0, 10.0)]
     got = kmeans(spark.createDataFrame(points, "x double, y double"), [(0.0, 1.0), (9.0, 9.0)]).orderBy("cluster").collect()
