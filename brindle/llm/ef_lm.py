@@ -76,8 +76,8 @@ def get(data: bytes) -> list[np.ndarray]:
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    """Probabilities in (0, 1] as codes 1..255; 0 stays for "none"."""
-    return (1 + np.clip(np.rint(-np.log10(np.maximum(p, 1e-12)) / STEP), 0, 254)).astype(np.uint8)
+    """Probabilities in (0, 1] as 16-bit codes from 1; 0 stays for "none".  Codes reach below what counts of 64 bits allow."""
+    return (1 + np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) / STEP), 0, 65534)).astype("<u2")
 
 
 def restore(code: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ class Trie:
         ends = np.cumsum([0, *self.sizes])
         part = [self.map[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         self.contexts, self.pointers, self.successors = (EliasFano(part[k].tobytes(), part[k + 1], part[k + 2]) for k in (0, 3, 6))
-        self.total, self.backoff, self.code = part[9].view("<i8"), part[10], part[11]
+        self.total, self.backoff, self.code = part[9].view("<i8"), part[10].view("<u2"), part[11].view("<u2")
 
     def context(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, found) of context hashes."""
@@ -154,16 +154,16 @@ class Trie:
     def answer(self, x: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For contexts x with `sizes` successors each: counts, backoff codes, and a code for each successor (0: unseen)."""
         k, found = self.context(x)
-        total, backoff = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint8)
+        total, backoff = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint16)
         total[found], backoff[found] = self.total[k[found]], self.backoff[k[found]]
         of, known = np.repeat(k, sizes), np.repeat(found, sizes)
-        code = np.zeros(len(words), np.uint8)
+        code = np.zeros(len(words), np.uint16)
         wanted = (of[known].astype(np.uint64) << np.uint64(WORD_BITS)) | words[known]
         at = self.successors.successor(wanted)
         hit = at < self.successors.n
         hit[hit] = self.successors.at(at[hit]) == wanted[hit]
         hit[hit] &= at[hit] < self.pointers.at(of[known][hit] + 1).astype(np.int64)
-        got = np.zeros(len(wanted), np.uint8)
+        got = np.zeros(len(wanted), np.uint16)
         got[hit] = self.code[at[hit]]
         code[known] = got
         return total, backoff, code

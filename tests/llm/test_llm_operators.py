@@ -474,6 +474,18 @@ def test_op10_against_brute_force(odd, empty):
     assert ef_lm.score_documents(empty, held).count() == 0
 
 
+def test_op10_rare_successors_of_a_frequent_context():
+    counts = np.array([20_000_000, *[1] * 9], np.int64)
+    trie = ef_lm.Trie(np.array([5], np.uint64), np.array([0, 10]), np.arange(10, dtype=np.uint64), counts)
+    total, backoff, code = trie.answer(np.array([5], np.uint64), np.array([10]), np.arange(10, dtype=np.uint64))
+    cut = 0.95  # nine ones and no twos, at the bound
+    assert total.tolist() == [counts.sum()]
+    assert np.abs(np.log10(ef_lm.restore(code) / ((counts - cut) / counts.sum()))).max() <= ef_lm.STEP
+    assert abs(np.log10(ef_lm.restore(backoff)[0] / (cut * 10 / counts.sum()))) <= ef_lm.STEP
+    low = np.array([1.0, 1e-3, 1e-9, 1e-20])
+    assert np.abs(np.log10(ef_lm.restore(ef_lm.quantise(low)) / low)).max() <= ef_lm.STEP
+
+
 def test_op10_shards_agree(odd):
     held = F.lit(False)
     a, b = ({(r["doc_id"], r["n_tokens"]): (r["base_score"], r["n_known"]) for r in ef_lm.score_documents(odd, held, shards=s).collect()} for s in (1, 64))
