@@ -3,8 +3,8 @@
 Seeds are the spans that fixed formats find (email, ip, card, phone).  The two words before a seed are a
 lexical pattern.  Identifier-like strings that no format accepts (digit groups with separators, addresses
 written with "at") are candidates; the words before them link them to patterns.  Over the graph of patterns
-and instances Spark scores in turns: a pattern by the share of its instances that are known, an instance by
-its best pattern.  Candidates under a pattern that enough different known instances support, with a share of
+and instances Spark scores in turns: a pattern by the share of one kind among its known instances (each value
+once; candidates of no known kind are unlabelled), an instance by its best pattern.  Candidates under a pattern that enough different known instances support, with a share of
 at least SHARE, are added with the pattern's kind.
 
 Positions come from splitting: a text's pieces between matches and the matches themselves give each start.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Known instances that must support a pattern, the share of its instances that must be known, turns.
+#: Known instances that must support a pattern, the share of its known instances that must be of its kind, turns.
 SUPPORT, SHARE, TURNS = 5, 0.8, 3
 
 #: The four formats (possessive; a run that failed from its start is not tried from within).
@@ -84,13 +84,13 @@ def learn_patterns(base: DataFrame, support: int = SUPPORT, share: float = SHARE
     # the graph, counted before any join: a value or context that is everywhere is one row
     graph = materialize(seeds.unionByName(loose).where("c <> ''").groupBy("c", norm.alias("inst"), "kind").agg(F.count("*").alias("n")), "pii-graph")
     known = graph.where("kind is not null").groupBy("inst").agg(F.max_by("kind", "n").alias("kind"), F.lit(1.0).alias("score"))
+    pairs = graph.select("c", "inst").distinct()
     patterns = None
     for turn in range(turns):
-        scored = graph.select("c", "inst", "n").join(known, "inst", "left")
-        p = scored.groupBy("c").agg(
-            (F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))) / F.sum("n")).alias("share"), F.countDistinct(F.when(F.col("score") >= share, F.col("inst"))).alias("support"), F.max_by("kind", F.struct(F.coalesce("score", F.lit(0.0)), "n", "kind")).alias("kind"), F.countDistinct("kind").alias("kinds")
-        )
-        patterns = materialize(p.where((F.col("support") >= support) & (F.col("share") >= share) & (F.col("kinds") == 1)).select("c", "kind", "share"), "pii-patterns")
+        # each value once a context; values without a kind say nothing, those of another kind speak against it
+        scored = pairs.join(known, "inst").groupBy("c", "kind").agg(F.sum("score").alias("w"), F.count("*").alias("n"), F.count(F.when(F.col("score") >= share, 1)).alias("support"))
+        p = scored.groupBy("c").agg(F.max(F.struct("w", "kind", "support")).alias("best"), F.sum("n").alias("n")).select("c", "best.kind", "best.support", (F.col("best.w") / F.col("n")).alias("share"))
+        patterns = materialize(p.where((F.col("support") >= support) & (F.col("share") >= share)).select("c", "kind", "share"), "pii-patterns")
         if turn == turns - 1 or patterns.isEmpty():
             break
         found = graph.join(patterns.select("c", F.col("kind").alias("as_kind"), "share"), "c").groupBy("inst").agg(F.max_by("as_kind", "share").alias("kind"), F.max("share").alias("score"))

@@ -415,6 +415,22 @@ def test_op9_bootstraps(spark):
     assert all(found[k].startswith("phone:") and "," not in found[k] for k in range(30))
 
 
+def test_op9_patterns_count_each_value_once(spark):
+    rows = [(k, f"please call me +1 212 555 {1000 + k} today") for k in range(20)]
+    rows += [(100 + k, "then call me 212 555 0199 instead") for k in range(300)]  # one unseen number in many copies
+    rows += [(1000 + k, f"my direct line +1 312 555 {1000 + k} now") for k in range(10)]
+    rows += [(1100 + k, f"my direct line 312 556 {1000 + k} now") for k in range(10)]  # half of the values unseen
+    rows += [(2000 + k, f"see item code +1 412 555 {1000 + k} here") for k in range(5)]
+    rows += [(2100 + k, f"see item code u{k}@example.org here") for k in range(5)]  # labelled of two kinds
+    rows += [(2200, "see item code 412 556 1000 here")]
+    rows += [(3000 + k, f"read page two +1 512 555 {1000 + k % 2} there") for k in range(50)]  # copies of two values lend no support
+    rows += [(3100, "read page two 512 556 1000 there")]
+    found = {r["doc_id"]: r["spans"] for r in spans_of(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert {found[100 + k] for k in range(300)} == {"phone:13:25"}
+    assert all(found[1100 + k] == "phone:15:27" for k in range(10))
+    assert found[2200] == "" and found[3100] == ""
+
+
 def test_op9_redacts(odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
