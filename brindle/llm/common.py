@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -75,3 +76,25 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Python strings of a column; null counts as empty."""
     return [x if x is not None else "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+class WordCache:
+    """Hashes of words that a worker remembers, up to about `most` bytes; then it starts anew (one text's words always fit)."""
+
+    def __init__(self, hash_one: Callable[[Any], int], most: int = 40 << 20):
+        self.hash_one, self.most, self.held = hash_one, most, 0
+        self.known: dict[Any, int] = {}
+
+    def __call__(self, words: list) -> np.ndarray:
+        known = self.known
+        new = {*words}.difference(known)
+        if new:
+            size = sum(map(len, new)) + 160 * len(new)  # key, number and slot
+            if self.held + size > self.most and known:
+                known.clear()
+                self.held, new = 0, {*words}
+                size = sum(map(len, new)) + 160 * len(new)
+            self.held += size
+            for w in new:
+                known[w] = self.hash_one(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

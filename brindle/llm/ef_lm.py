@@ -1,30 +1,36 @@
-"""Language-model scoring with a sharded Elias-Fano n-gram trie (words and word pairs).
-
-Model: interpolated absolute discounting over additive unigrams.  Sentences are whole texts between a
-begin mark and an end mark.  The trie is sharded by the context word's hash:
-    level 1   context hashes, Elias-Fano coded; per context its count and the quantised backoff weight
-    pointers  where each context's successors begin, monotone, Elias-Fano coded
-    level 2   successors, relative to their context: (context number << 40 | 40 bits of the word's hash) is one
-              monotone Elias-Fano sequence, searched for the first entry not below the wanted one; per entry
-              the quantised discounted probability
-A shard's levels live in one file that is memory-mapped while the shard answers.
-
-Flow: texts become blocks of word numbers (one narrow pass, written once); blocks send each distinct context
-and pair once, with its training count, to the shard of the context (pre-aggregated: a word that holds a
-third of all tokens is one entry a block); a shard merges counts, builds its levels, answers each block's
-entries in order; a block joins the answers and sums logarithms per document.  No vocabulary and no model
-is broadcast or collected; the driver sees three totals.
+"""Language-model scoring with a sharded Elias-Fano n-gram trie of order 3.
+
+Model: interpolated absolute discounting (one discount an order, DISCOUNTS) over additive unigrams.  Sentences
+are whole texts between a begin mark and an end mark.  The trie holds words, pairs and triples that the
+training texts have, in key order (hash of the first word, of the second, of the third), cut into shards:
+    lexicon   the shard's word hashes (64 bits), Elias-Fano coded; a word is its number in it
+    level 1   words that begin something; a count and a quantised backoff weight each
+    level 2   successors of each: numbers as low parts, the degrees in unary, which are the pointers; a
+              quantised discounted probability and a quantised backoff weight each
+    level 3   successors of each pair: as level 2, a quantised discounted probability each
+A shard's levels lie in one memory map.  A query selects in the unary bits for [pointer, next pointer) and
+looks for the successor there, relative to its context; nothing is decoded.
+
+Flow: texts become blocks of word numbers (one narrow pass, written once); a block sends each distinct triple
+once, with its training count, to the shard of its key; a shard merges counts, builds its levels and answers
+each block's entries in order; a block joins the answers and sums logarithms per document.  No vocabulary
+and no model is broadcast or collected.
+
+Skew: shards are ranges of the key order, cut at a sample of at most SAMPLE_BLOCKS * SAMPLE_EVENTS triples, so the
+successors of a frequent word, or of a frequent pair, lie in as many shards as they need.  A context that is
+cut this way has its total and degree put together on the driver from at most four figures a shard; blocks
+mend what its shards answered.  The sample decides where shards end and nothing else: scores don't depend
+on the number of shards.  Broadcast: 24 bytes a shard, and the figures of contexts that were cut.
 
 Defined results: null text is empty (its end mark alone); null doc_id counts as a training document;
-repeated rows count and are scored each; without training tokens every probability falls back to the unseen
-word's, with N and V zero.
+repeated rows count and are scored each; an empty table gives no rows; without training tokens every
+probability falls back to the unseen word's, with N and V zero; very long texts make a block of their own;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +41,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices, texts_of
-
-#: Tokens that make a block; bits of a successor's hash; step of the logarithmic quantiser; additive smoothing.
-BLOCK_TOKENS, WORD_BITS, STEP, ADD = 1 << 21, 40, 0.02, 0.1
+from .common import WordCache, documents, materialize, materialize_counted, slices, texts_of
+from .elias_fano import EliasFano, mapped
+
+#: Tokens that make a block, and a shard on average; the most shards (beyond that, shards grow: 40 bytes a token while one is built).
+BLOCK_TOKENS, SHARD_TOKENS, MOST_SHARDS = 1 << 20, 1 << 21, 1 << 20
+#: Blocks that say where shards end, and places that each names.
+SAMPLE_BLOCKS, SAMPLE_EVENTS = 1024, 64
+#: Entries that a shard looks up at a time.
+BATCH = 1 << 17
+#: Step of the logarithmic quantiser, additive smoothing of unigrams, discounts of pairs and triples.
+STEP, ADD, DISCOUNTS = 0.001, 0.1, (0.8, 0.9)
 #: Hashes of the marks: begin sorts first, end last; words never get them.
 BEGIN, END = 0, 2**64 - 1
 
@@ -51,32 +64,34 @@ def hash_word(w: bytes) -> int:
 
 
 def put(*columns: np.ndarray) -> bytes:
-    """Integer columns as compressed byte planes."""
-    press, out = zstandard.ZstdCompressor(level=1), [struct.pack("<I", len(columns))]
-    for c in columns:
-        width = c.dtype.itemsize
-        blob = press.compress(np.ascontiguousarray(c).view(np.uint8).reshape(-1, width).T.tobytes()) if len(c) else b""
-        out += [struct.pack("<4sQQ", c.dtype.str.encode().ljust(4), len(c), len(blob)), blob]
-    return b"".join(out)
+    """Integer columns as byte planes, compressed together."""
+    head = struct.pack("<I", len(columns)) + b"".join(struct.pack("<4sQ", c.dtype.str.encode().ljust(4), len(c)) for c in columns)
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns if len(c))
+    return head + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def get(data: bytes) -> list[np.ndarray]:
-    grow, out, at = zstandard.ZstdDecompressor(), [], 4
-    for _ in range(struct.unpack_from("<I", data)[0]):
-        kind, n, size = struct.unpack_from("<4sQQ", data, at)
-        at += 20
+    n = struct.unpack_from("<I", data)[0]
+    heads = [struct.unpack_from("<4sQ", data, 4 + 12 * k) for k in range(n)]
+    planes, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[4 + 12 * n :]), np.uint8), [], 0
+    for kind, size in heads:
         dtype = np.dtype(kind.decode().strip())
-        planes = np.frombuffer(grow.decompress(data[at : at + size]) if n else b"", np.uint8)
-        out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, n).T).view(dtype).ravel())
-        at += size
+        to = at + size * dtype.itemsize
+        out.append(np.ascontiguousarray(planes[at:to].reshape(dtype.itemsize, size).T).view(dtype).ravel())
+        at = to
     return out
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of an ascending column (its first entry stays)."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 # -- the trie --------------------------------------------------------------------------------------------
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    """Probabilities in (0, 1] as 16-bit codes from 1; 0 stays for "none".  Codes reach below what counts of 64 bits allow."""
+    """Probabilities in (0, 1] as 16-bit codes from 1, down to 10^-65; 0 stays for "none"."""
     return (1 + np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) / STEP), 0, 65534)).astype("<u2")
 
 
@@ -84,99 +99,125 @@ def restore(code: np.ndarray) -> np.ndarray:
     return np.where(code == 0, 0.0, 10.0 ** (-(code.astype(np.float64) - 1) * STEP))
 
 
-class EliasFano:
-    """A monotone sequence of uint64: low bytes apart, high parts in unary."""
-
-    @staticmethod
-    def build(values: np.ndarray) -> tuple[bytes, bytes, bytes]:
-        n, top = len(values), int(values[-1]) if len(values) else 0
-        planes = max(0, (top // max(n, 1)).bit_length() // 8)
-        while (top >> (8 * planes)) > 64 * max(n, 1):
-            planes += 1
-        low = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T
-        high = (values >> np.uint64(8 * planes)).astype(np.int64) if planes < 8 else np.zeros(n, np.int64)
-        unary = np.zeros(int(high[-1]) + n if n else 0, bool)
-        unary[high + np.arange(n)] = True
-        return struct.pack("<QQQ", n, planes, len(unary)), np.ascontiguousarray(low).tobytes(), np.packbits(unary).tobytes()
-
-    def __init__(self, head: bytes, low: np.ndarray, unary: np.ndarray):
-        self.n, self.planes, size = struct.unpack("<QQQ", head)
-        self.low = low.reshape(self.planes, self.n)
-        self.high = np.flatnonzero(np.unpackbits(unary, count=size)) - np.arange(self.n)
-
-    def at(self, k: np.ndarray) -> np.ndarray:
-        out = self.high[k].astype(np.uint64) if self.planes < 8 else np.zeros(len(k), np.uint64)
-        for j in range(self.planes - 1, -1, -1):
-            out = (out << np.uint64(8)) | self.low[j][k].astype(np.uint64)
-        return out
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first entry that isn't below x (n if none): the high part picks a run, the low bytes a place in it."""
-        hi = (x >> np.uint64(8 * self.planes)).astype(np.int64) if self.planes < 8 else np.zeros(len(x), np.int64)
-        a, b = np.searchsorted(self.high, hi, "left"), np.searchsorted(self.high, hi, "right")
-        while (open_ := np.flatnonzero(a < b)).size:
-            mid = (a[open_] + b[open_]) // 2
-            below = self.at(mid) < x[open_]
-            a[open_[below]] = mid[below] + 1
-            b[open_[~below]] = mid[~below]
-        return a
+def heads_of(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal entries begins, and the end."""
+    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else np.zeros(1, np.int64)
 
 
 class Trie:
-    """One shard.  contexts: sorted hashes; begin: where successors of each begin; words, counts: successors' 40 bits and counts."""
-
-    def __init__(self, contexts: np.ndarray, begin: np.ndarray, words: np.ndarray, counts: np.ndarray):
-        of = np.repeat(np.arange(len(contexts)), np.diff(begin))
-        total = np.add.reduceat(counts, begin[:-1]) if len(contexts) else np.zeros(0, np.int64)
-        ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-        discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+    """One shard, from its entries: a lexicon (ascending hashes), three columns of numbers in it, and counts; entries may repeat."""
+
+    def __init__(self, lexicon: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray):
+        bits = max(1, len(lexicon).bit_length())
+        shift, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
+        pair = (u.astype(np.uint64) << shift) | v.astype(np.uint64)
+        pairs, of = np.unique(pair, return_inverse=True)
+        key = (of.astype(np.uint64) << shift) | w.astype(np.uint64)  # below 2**64 as long as a shard has fewer than 2**32 words and pairs
+        order = np.argsort(key)
+        key, count = key[order], count[order].astype(np.int64)
+        runs = heads_of(key)
+        key, c3 = key[runs[:-1]], np.add.reduceat(count, runs[:-1]) if len(count) else count
+        at2 = heads_of(key >> shift)
+        at1 = heads_of(pairs >> shift)
+        c2 = np.add.reduceat(c3, at2[:-1]) if len(c3) else c3
+        c1 = np.add.reduceat(c2, at1[:-1]) if len(c2) else c2
+        contexts = (pairs >> shift)[at1[:-1]]
+        d1, d2 = np.diff(at1), np.diff(at2)
+        self.total, of1, of2 = c1, np.repeat(np.arange(len(c1)), d1), np.repeat(np.arange(len(c2)), d2)
+        d_two, d_three = DISCOUNTS
         levels = [
-            *EliasFano.build(contexts), *EliasFano.build(begin.astype(np.uint64)), *EliasFano.build((of.astype(np.uint64) << np.uint64(WORD_BITS)) | words),
-            total.astype("<i8").tobytes(), quantise(discount * np.diff(begin) / np.maximum(total, 1)).tobytes(), quantise((counts - discount) / total[of]).tobytes(),
+            *EliasFano.build(lexicon), *EliasFano.build(contexts),
+            *EliasFano.build((of1.astype(np.uint64) << shift) | (pairs & mask), bits, len(c1)), *EliasFano.build((of2.astype(np.uint64) << shift) | (key & mask), bits, len(c2)),
+            c1.astype("<i8").tobytes(), quantise(d_two * d1 / np.maximum(c1, 1)).tobytes(), quantise((c2 - d_two) / np.maximum(c1, 1)[of1]).tobytes(),
+            quantise(d_three * d2 / np.maximum(c2, 1)).tobytes(), quantise((c3 - d_three) / np.maximum(c2, 1)[of2]).tobytes(),
         ]
-        self.sizes = [len(x) for x in levels]
-        with tempfile.NamedTemporaryFile(prefix="trie-", delete=False) as f:
-            f.write(b"".join(levels) or b"\0")
-        self.map = np.memmap(f.name, np.uint8, "r")
-        os.unlink(f.name)  # the mapping keeps the pages; nothing stays behind
-        ends = np.cumsum([0, *self.sizes])
-        part = [self.map[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        self.contexts, self.pointers, self.successors = (EliasFano(part[k].tobytes(), part[k + 1], part[k + 2]) for k in (0, 3, 6))
-        self.total, self.backoff, self.code = part[9].view("<i8"), part[10].view("<u2"), part[11].view("<u2")
-
-    def context(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number, found) of context hashes."""
-        k = self.contexts.successor(x)
-        found = k < self.contexts.n
-        found[found] = self.contexts.at(k[found]) == x[found]
-        return k, found
-
-    def answer(self, x: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For contexts x with `sizes` successors each: counts, backoff codes, and a code for each successor (0: unseen)."""
-        k, found = self.context(x)
-        total, backoff = np.zeros(len(x), np.int64), np.zeros(len(x), np.uint16)
-        total[found], backoff[found] = self.total[k[found]], self.backoff[k[found]]
-        of, known = np.repeat(k, sizes), np.repeat(found, sizes)
-        code = np.zeros(len(words), np.uint16)
-        wanted = (of[known].astype(np.uint64) << np.uint64(WORD_BITS)) | words[known]
-        at = self.successors.successor(wanted)
-        hit = at < self.successors.n
-        hit[hit] = self.successors.at(at[hit]) == wanted[hit]
-        hit[hit] &= at[hit] < self.pointers.at(of[known][hit] + 1).astype(np.int64)
-        got = np.zeros(len(wanted), np.uint16)
-        got[hit] = self.code[at[hit]]
-        code[known] = got
-        return total, backoff, code
+        part = mapped(levels)
+        self.lexicon, self.contexts, self.two, self.three = (EliasFano(part[k].tobytes(), *part[k + 1 : k + 4]) for k in (0, 4, 8, 12))
+        self.total, self.backoff1, self.code2, self.backoff2, self.code3 = part[16].view("<i8"), *(p.view("<u2") for p in part[17:])
+        # the first and last contexts, which a neighbouring shard may share
+        name = lambda k: int(lexicon[int(k)])
+        self.edges = [[name(contexts[j]), int(c1[j]), int(d1[j]), name(pairs[i] >> shift), name(pairs[i] & mask), int(c2[i]), int(d2[i])] for j, i in ((0, 0), (-1, -1))] if len(c1) else []
+        self.tokens, self.texts = int(c1.sum()), 0
+        if self.edges and self.edges[0][0] == BEGIN:
+            self.texts = self.edges[0][1]
+
+    def answer(self, words: np.ndarray, u: np.ndarray, n_v: np.ndarray, v: np.ndarray, n_w: np.ndarray, w: np.ndarray) -> tuple:
+        """words: hashes; u, v, w: places in it, v the n_v successors of each u, w the n_w successors of each pair.
+
+        Codes of triples, codes and backoff codes of pairs, counts and backoff codes of words (0: unseen), and the contexts' numbers (-1).
+        """
+
+        def hit(level: EliasFano, at: np.ndarray, end: np.ndarray | int, want: np.ndarray, read) -> np.ndarray:
+            found = at < end
+            found[found] = read(level, at[found]) == want[found]
+            return np.where(found, at, -1)
+
+        at = self.lexicon.successor(words)
+        number = hit(self.lexicon, at, self.lexicon.n, words, EliasFano.at)
+        nu = number[u]
+        at = self.contexts.successor(np.maximum(nu, 0).astype(np.uint64))
+        k1 = np.where(nu >= 0, hit(self.contexts, at, self.contexts.n, nu.astype(np.uint64), EliasFano.at), -1)
+
+        def down(level: EliasFano, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> np.ndarray:
+            first, last = level.run(np.maximum(context, 0))
+            last = np.where(context >= 0, last, first)
+            first, last, nw = np.repeat(first, sizes), np.repeat(last, sizes), number[word]
+            last = np.where(nw >= 0, last, first)
+            low = np.maximum(nw, 0).astype(np.uint64)
+            return hit(level, level.within(low, first, last), last, low, EliasFano.lows)
+
+        k2 = down(self.two, k1, n_v, v)
+        k3 = down(self.three, k2, n_w, w)
+        pick = lambda column, k: np.where(k >= 0, column[np.maximum(k, 0)], 0) if len(column) else np.zeros(len(k), column.dtype)
+        return pick(self.code3, k3), pick(self.code2, k2), pick(self.backoff2, k2), pick(self.total, k1), pick(self.backoff1, k1), k1, k2
 
 
 # -- blocks ----------------------------------------------------------------------------------------------
 
 
+class Block:
+    """The distinct triples of a block's texts, in key order.  token: numbers in the block's words (0 BEGIN, last END)."""
+
+    def __init__(self, sizes: np.ndarray, token: np.ndarray, n_words: int):
+        self.sizes, self.token, self.bits = sizes, token, np.uint64((n_words + 1).bit_length())
+        self.starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        before = np.concatenate(([0], token[:-1]))
+        before[self.starts] = 0
+        after = np.concatenate((token[1:], [0]))
+        after[self.starts + sizes - 1] = n_words - 1
+        pair = (before.astype(np.uint64) << self.bits) | token.astype(np.uint64)
+        if 3 * int(self.bits) <= 64:
+            key, self.of_event = np.unique((pair << self.bits) | after.astype(np.uint64), return_inverse=True)
+            runs = heads_of(key >> self.bits)
+            self.pair, self.pair_of = (key >> self.bits)[runs[:-1]], np.repeat(np.arange(len(runs) - 1), np.diff(runs))
+            self.key = (self.pair_of.astype(np.uint64) << self.bits) | (key & np.uint64((1 << int(self.bits)) - 1))
+        else:
+            self.pair, of = np.unique(pair, return_inverse=True)
+            self.key, self.of_event = np.unique((of.astype(np.uint64) << self.bits) | after.astype(np.uint64), return_inverse=True)
+            self.pair_of = (self.key >> self.bits).astype(np.int64)
+        mask = np.uint64((1 << int(self.bits)) - 1)
+        self.u, self.v, self.w = (self.pair >> self.bits).astype(np.int64), (self.pair & mask).astype(np.int64), (self.key & mask).astype(np.int64)
+
+    def counts(self, held: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of_event[np.repeat(held == 0, self.sizes)], minlength=len(self.key))
+
+    def cuts(self, vocab: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the triples of each shard begin; ends: first keys (three hashes) of the shards after the first."""
+        place = [np.searchsorted(vocab, ends[:, k]) for k in range(3)]
+        same = [vocab[np.minimum(p, len(vocab) - 1)] == ends[:, k] for k, p in enumerate(place)]
+        pair = (place[0].astype(np.uint64) << self.bits) | np.where(same[0], place[1], 0).astype(np.uint64)
+        at = np.searchsorted(self.pair, pair)
+        whole = same[0] & same[1] & (at < len(self.pair))
+        whole[whole] = self.pair[at[whole]] == pair[whole]
+        key = (at.astype(np.uint64) << self.bits) | np.where(whole, place[2], 0).astype(np.uint64)
+        return np.concatenate(([0], np.searchsorted(self.key, key), [len(self.key)]))
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, held_out, text.  (block, blob): word numbers of many texts, and the hashes they stand for."""
+    """docs: doc_id, held_out, text.  Rows: block, vocab (hashes), blob (texts' ids, marks, sizes, word numbers), tokens, sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = WordCache(hash_word)
         names: list = []
         held: list = []
         rows: list[np.ndarray] = []
@@ -185,8 +226,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal size, number
             vocab, at = np.unique(np.concatenate(rows), return_inverse=True)
-            blob = put(np.array([d or 0 for d in names], np.int64), np.array([d is None for d in names], np.uint8), np.array(held, np.uint8), np.array([len(r) for r in rows], np.int64), vocab, at.astype(np.uint32))
-            out = pa.RecordBatch.from_arrays([pa.array([part << 24 | number], pa.int64()), pa.array([blob], pa.binary())], names=["block", "blob"])
+            blob = put(np.array([d or 0 for d in names], np.int64), np.array([d is None for d in names], np.uint8), np.array(held, np.uint8), np.array([len(r) for r in rows], np.int64), (at + 1).astype(np.uint32))
+            ends = np.cumsum([len(r) for r in rows])
+            sample = np.zeros((SAMPLE_EVENTS, 3), np.uint64)
+            for j, k in enumerate(np.linspace(0, size - 1, SAMPLE_EVENTS).astype(np.int64)):
+                d = int(np.searchsorted(ends, k, "right"))
+                k -= ends[d] - len(rows[d])
+                sample[j] = (rows[d][k - 1] if k else BEGIN, rows[d][k], rows[d][k + 1] if k + 1 < len(rows[d]) else END)
+            out = pa.RecordBatch.from_arrays([pa.array([part << 24 | number], pa.int64()), pa.array([put(steps(np.concatenate(([np.uint64(BEGIN)], vocab))))], pa.binary()), pa.array([blob], pa.binary()), pa.array([size], pa.int64()), pa.array([sample.tobytes()], pa.binary())], names=["block", "vocab", "blob", "tokens", "sample"])
             size, number = 0, number + 1
             for x in (names, held, rows):
                 x.clear()
@@ -196,151 +243,235 @@ def _blocks(docs: DataFrame) -> DataFrame:
             for b in slices(whole, "text"):
                 for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b), strict=True):
                     words = t.encode("utf-8", "surrogatepass").lower().split()
-                    for w in {*words}.difference(known):
-                        known[w] = hash_word(w)
-                    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                    rows.append(np.concatenate((ids, [np.uint64(END)])))
+                    rows.append(np.concatenate((known(words), [np.uint64(END)])))
                     names.append(d)
                     held.append(bool(h))
                     size += len(rows[-1])
                     if size >= BLOCK_TOKENS:
                         yield flush()
-                    if len(known) > 600_000:
-                        known.clear()
         if rows:
             yield flush()
 
-    return docs.mapInArrow(run, "block long, blob binary")
+    return docs.mapInArrow(run, "block long, vocab binary, blob binary, tokens long, sample binary")
 
 
-class Block:
-    """A block opened: events are pairs (context, token), numbered among the block's distinct pairs."""
-
-    def __init__(self, blob: bytes):
-        ids, nulls, self.held, self.sizes, vocab, at = get(blob)
-        self.names = [None if z else int(d) for d, z in zip(ids, nulls, strict=True)]
-        self.vocab = np.concatenate(([np.uint64(BEGIN)], vocab))
-        self.token = at.astype(np.int64) + 1
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
-        context = np.concatenate(([0], self.token[:-1]))
-        context[self.starts] = 0
-        key = context * len(self.vocab) + self.token
-        self.pair, self.of_event = np.unique(key, return_inverse=True)
-        self.context, self.word = np.divmod(self.pair, len(self.vocab))
-        learn = np.repeat(self.held == 0, self.sizes)
-        self.count = np.bincount(self.of_event[learn], minlength=len(self.pair))
-
-
-def _queries(blocks: DataFrame, shards: int) -> DataFrame:
-    """(shard, block, blob): contexts, successors a context, successors' 40 bits, training counts."""
-    shift = np.uint64(64 - shards.bit_length() + 1)
+def shard_ends(blocks: DataFrame, shards: int) -> np.ndarray:
+    """First keys of the shards after the first, at even steps of a bounded sample of the corpus's triples."""
+    rows = blocks.select("sample", F.xxhash64("block").alias("h"), "block").orderBy("h", "block").limit(SAMPLE_BLOCKS).select("sample").collect()
+    seen = np.concatenate([np.frombuffer(r["sample"], np.uint64).reshape(-1, 3) for r in rows] or [np.zeros((0, 3), np.uint64)])
+    seen = seen[np.lexsort((seen[:, 2], seen[:, 1], seen[:, 0]))]
+    at = np.unique(np.arange(1, shards) * len(seen) // shards)
+    return np.unique(seen[at], axis=0)
+
+
+def _queries(blocks: DataFrame, ends: np.ndarray) -> DataFrame:
+    """(shard, block, blob): a block's triples in a shard's range, as a little trie of their own, with training counts."""
+    shared = blocks.sparkSession.sparkContext.broadcast(ends)  # 24 bytes a shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                b = Block(batch.column(1)[r].as_py())
-                contexts = b.vocab[:-1] if b.vocab[-1] == np.uint64(END) else b.vocab  # END is nobody's context
-                begin = np.searchsorted(b.context, np.arange(len(contexts) + 1))
-                shard = (contexts >> shift).astype(np.int64)
-                words = b.vocab[b.word] >> np.uint64(64 - WORD_BITS)
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                out = []
+                vocab = np.cumsum(get(batch.column(1)[r].as_py())[0])
+                _, _, held, sizes, token = get(batch.column(2)[r].as_py())
+                b = Block(sizes, token.astype(np.int64), len(vocab))
+                count, cut, out = b.counts(held), b.cuts(vocab, shared.value), []
+                place = np.zeros(len(vocab), np.uint32)
                 for s in np.flatnonzero(np.diff(cut)):
                     x, y = cut[s], cut[s + 1]
-                    p, q = begin[x], begin[y]
-                    out.append((int(s), put(contexts[x:y], np.diff(begin[x : y + 1]).astype(np.uint32), words[p:q], b.count[p:q].astype(np.uint32))))
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["shard", "block", "blob"])
-
-    return blocks.mapInArrow(run, "shard int, block long, blob binary")
-
-
-def merge(parts: list[list[np.ndarray]]) -> tuple[Trie, int, int, int]:
-    """The trie of a shard's entries; training tokens and distinct words of the shard, training texts (0 unless it has BEGIN)."""
-    every = np.unique(np.concatenate([p[0] for p in parts]))
-    keys = np.concatenate([(np.repeat(np.searchsorted(every, p[0]), p[1]).astype(np.uint64) << np.uint64(WORD_BITS)) | p[2] for p in parts])
-    counts = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    keys, counts = keys[counts > 0], counts[counts > 0]
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    keys, counts = keys[first], np.add.reduceat(counts, first) if len(keys) else counts
-    seen, begin = np.unique(keys >> np.uint64(WORD_BITS), return_index=True)
-    begin = np.append(begin, len(keys))
-    contexts = every[seen.astype(np.int64)]
-    trie = Trie(contexts, begin, keys & np.uint64(2**WORD_BITS - 1), counts)
-    texts = int(trie.total[0]) if len(contexts) and contexts[0] == BEGIN else 0
-    return trie, int(trie.total.sum()) - texts, len(contexts) - (texts > 0), texts
+                    p, q = b.pair_of[x], b.pair_of[y - 1] + 1
+                    u = b.u[p:q]
+                    at = heads_of(u)
+                    names = np.unique(np.concatenate((u[at[:-1]], b.v[p:q], b.w[x:y])))
+                    place[names] = np.arange(len(names))
+                    out.append((int(s), put(steps(vocab[names]), steps(place[u[at[:-1]]]), np.diff(at).astype(np.uint32), place[b.v[p:q]], np.bincount(b.pair_of[x:y] - p, minlength=q - p).astype(np.uint32), place[b.w[x:y]], count[x:y].astype(np.uint32))))
+                    if len(out) == 256:
+                        yield batch_of(out, batch.column(0)[r].as_py())
+                        out = []
+                if out:
+                    yield batch_of(out, batch.column(0)[r].as_py())
+
+    def batch_of(out: list, block: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["shard", "block", "blob"])
+
+    return blocks.select("block", "vocab", "blob").mapInArrow(run, "shard int, block long, blob binary")
+
+
+def opened(blob: bytes) -> list[np.ndarray]:
+    """words, u, n_v, v, n_w, w, counts of a block's entries for a shard."""
+    words, u, n_v, v, n_w, w, count = get(blob)
+    return [np.cumsum(words), np.cumsum(u, dtype=np.int64), n_v.astype(np.int64), v.astype(np.int64), n_w.astype(np.int64), w.astype(np.int64), count]
+
+
+def merge(blobs: list[bytes]) -> Trie:
+    """The trie of a shard's entries that training texts have."""
+    lexicon = np.zeros(0, np.uint64)
+    for k in range(0, len(blobs), 64):
+        lexicon = np.unique(np.concatenate([lexicon, *(np.cumsum(get(b)[0]) for b in blobs[k : k + 64])]))
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    for b in blobs:
+        words, u, n_v, v, n_w, w, count = opened(b)
+        number = np.searchsorted(lexicon, words).astype(np.uint32)
+        seen = count > 0
+        for c, x in zip(columns, (np.repeat(np.repeat(number[u], n_v), n_w), np.repeat(number[v], n_w), number[w], count), strict=True):
+            c.append(x[seen])
+    return Trie(lexicon, *(np.concatenate(c) for c in columns))
+
+
+SHARD_ROW = ["block", "shard", "blob", "tokens", "edges"]
 
 
 def _answers(queries: DataFrame) -> DataFrame:
-    """queries ordered by shard.  (block, shard, blob) answers, and a row of block -1 with the shard's totals."""
+    """queries ordered by shard.  (block, shard, blob) answers, and a row of block -1 with the shard's figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, names, parts = None, [], []
+        shard: int | None = None
+        names: list[int] = []
+        blobs: list[bytes] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            trie, tokens, words, texts = merge(parts)
-            schema = ["block", "shard", "blob", "tokens", "words", "texts"]
-            for name, p in zip(names, parts, strict=True):
-                total, backoff, code = trie.answer(p[0], p[1], p[2])
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([shard], pa.int32()), pa.array([put(total, backoff, code)], pa.binary()), *(pa.array([0], pa.int64()) for _ in range(3))], names=schema)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([shard], pa.int32()), pa.array([b""], pa.binary()), *(pa.array([x], pa.int64()) for x in (tokens, words, texts))], names=schema)
+            trie, at = merge(blobs), 0
+            last = (trie.contexts.n - 1, trie.two.n - 1)
+            while at < len(blobs):
+                cells, n, to = [], 0, at
+                while to < len(blobs) and (n < BATCH or not cells):
+                    cells.append(opened(blobs[to]))
+                    n, to = n + len(cells[-1][5]), to + 1
+                base = np.cumsum([0, *(len(c[0]) for c in cells)])
+                words, n_v, n_w = (np.concatenate([c[k] for c in cells]) for k in (0, 2, 4))
+                u, v, w = (np.concatenate([c[k] + x for c, x in zip(cells, base)]) for k in (1, 3, 5))
+                got = trie.answer(words, u, n_v, v, n_w, w)
+                ends = [np.cumsum([0, *(len(c[k]) for c in cells)]) for k in (5, 3, 3, 1, 1, 1, 3)]
+                answers = []
+                for j in range(len(cells)):
+                    part = [g[e[j] : e[j + 1]] for g, e in zip(got, ends, strict=True)]
+                    flags = [np.flatnonzero(k == x) for k, most in zip(part[5:], last, strict=True) for x in (0, most)]
+                    answers.append(put(*(x.astype("<u2") for x in part[:3]), part[3].astype("<i8"), part[4].astype("<u2"), np.array([f[0] if len(f) else -1 for f in flags], np.int64)))
+                k = len(answers)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at:to], pa.int64()), pa.array([shard] * k, pa.int32()), pa.array(answers, pa.binary()), pa.array([0] * k, pa.int64()), pa.array([None] * k, pa.binary())], names=SHARD_ROW)
+                at = to
+            edges = np.array([trie.contexts.n, *(x for e in trie.edges for x in e)], np.uint64).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([shard], pa.int32()), pa.array([b""], pa.binary()), pa.array([trie.tokens], pa.int64()), pa.array([edges], pa.binary())], names=SHARD_ROW)
 
         for b in batches:
             for s, name, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if s != shard and parts:
+                if s != shard and blobs:
                     yield from flush()
-                    names, parts = [], []
+                    names, blobs = [], []
                 shard = s
                 names.append(name)
-                parts.append(get(blob))
-        if parts:
+                blobs.append(blob)
+        if blobs:
             yield from flush()
 
-    return queries.mapInArrow(run, "block long, shard int, blob binary, tokens long, words long, texts long")
+    return queries.mapInArrow(run, "block long, shard int, blob binary, tokens long, edges binary")
+
+
+def put_together(rows: list[tuple[int, np.ndarray]]) -> tuple[int, int, dict[int, list[tuple[int, int, int]]]]:
+    """From shards' figures in order: training texts, distinct training words, and for each shard with a cut
+    context its four edges (first and last word, first and last pair): (whole count, whole degree, the shard's count)."""
+    words, pairs = {}, {}
+    texts = distinct = 0
+    shards = [(s, int(e[0]), [tuple(map(int, x)) for x in e[1:].reshape(2, 7)]) for s, e in rows if len(e) > 1]
+    before = None
+    for _, n, (first, last) in shards:
+        distinct += n - (before is not None and before[0] == first[0])
+        again = before is not None and before[3:5] == first[3:5]  # this pair was counted among its word's successors already
+        for k, edge in enumerate((first, last)):
+            if not k or edge[0] != first[0]:
+                c, d = words.get(edge[0], (0, 0))
+                words[edge[0]] = (c + edge[1], d + edge[2] - (again if not k else 0))
+            if not k or edge[3:5] != first[3:5]:
+                c, d = pairs.get(edge[3:5], (0, 0))
+                pairs[edge[3:5]] = (c + edge[5], d + edge[6])
+        before = last
+    if BEGIN in words:
+        texts, distinct = words[BEGIN][0], distinct - 1
+    mend = {}
+    for s, _, edges in shards:
+        own = [(*words[e[0]], e[1]) for e in edges] + [(*pairs[e[3:5]], e[5]) for e in edges]
+        if any(whole != part for whole, _, part in own):
+            mend[s] = own
+    return texts, distinct, mend
+
+
+def assembled(block: Block, n_words: int, got: list[tuple[int, list[np.ndarray]]], mend: dict, texts: int, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each event's log10 probability by the model and by the unigrams, and whether its token is known."""
+    d_two, d_three = DISCOUNTS
+    p3, p2, back2 = np.zeros(len(block.key)), np.zeros(len(block.pair)), np.ones(len(block.pair))
+    total, back1 = np.zeros(n_words, np.int64), np.ones(n_words)
+    weights = lambda code: np.where(code == 0, 1.0, restore(code))
+    at = 0
+    for shard, (code3, code2, b2, t, b1, flags) in got:
+        x, y = at, at + len(code3)
+        p, q = block.pair_of[x], block.pair_of[y - 1] + 1
+        at, u_here, t = y, block.u[p:q], t.copy()
+        names = u_here[heads_of(u_here)[:-1]]
+        here3, here2, weight2, weight1 = restore(code3), restore(code2), weights(b2), weights(b1)
+        own = mend.get(shard, ())
+        # counts of this shard's part of a context give way to those of the whole
+        for f, (whole, degree, part) in list(zip(flags, own))[: 1 if flags[0] == flags[1] else 2]:
+            if f >= 0 and whole != part:
+                i, j = np.searchsorted(u_here, [names[f], names[f] + 1])
+                here2[i:j] *= part / whole
+                t[f], weight1[f] = whole, d_two * degree / whole
+        for f, (whole, degree, part) in list(zip(flags[2:], own[2:]))[: 1 if flags[2] == flags[3] else 2]:
+            if f >= 0 and whole != part:
+                i, j = np.searchsorted(block.pair_of[x:y], [p + f, p + f + 1])
+                here3[i:j] *= part / whole
+                here2[f], weight2[f] = (whole - d_two) / t[np.searchsorted(names, u_here[f])], d_three * degree / whole
+        # a context that two shards' ranges share may be unseen in one of them
+        p3[x:y] = here3
+        for column, place, value, seen in ((p2, slice(p, q), here2, code2), (back2, slice(p, q), weight2, b2), (total, names, t, t), (back1, names, weight1, b1)):
+            known = seen != 0
+            where = np.arange(place.start, place.stop)[known] if isinstance(place, slice) else place[known]
+            column[where] = value[known]
+    total[n_words - 1] = texts
+    unigram = ((total + ADD) / norm)[block.token]
+    pair = block.pair_of[block.of_event]
+    each = p2[pair] + back1[block.u][pair] * unigram
+    later = np.ones(len(each), bool)
+    later[block.starts] = False
+    k = np.flatnonzero(later)
+    each[k] = p3[block.of_event[k - 1]] + back2[pair[k - 1]] * each[k]
+    return np.log10(each), np.log10(unigram), total[block.token] > 0
 
 
 def score_documents(docs: DataFrame, held_out: Column, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or 1 << max(4, (2 * n).bit_length())
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    blocks = materialize(_blocks(rows), "lm-blocks")
-    asked = _queries(blocks, shards).repartition(n, "shard").sortWithinPartitions("shard", "block")
+    blocks, seen = materialize_counted(_blocks(rows), "lm-blocks", F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    shards = shards or min(MOST_SHARDS, -(-seen["tokens"] // SHARD_TOKENS) or 1)
+    asked = _queries(blocks, shard_ends(blocks, shards)).repartition(n, "shard").sortWithinPartitions("shard", "block")
     answers = materialize(_answers(asked), "lm-answers")
-    totals = answers.where("block = -1").agg(F.sum("tokens"), F.sum("words"), F.sum("texts")).first()
-    tokens, words, texts = (int(x or 0) for x in totals)
-    all_tokens, distinct = tokens + texts, words + (texts > 0)
-    norm = all_tokens + ADD * (distinct + 1)
+    figures = answers.where("block = -1").select("shard", "tokens", "edges").collect()  # one row a shard
+    texts, distinct, mend = put_together([(r["shard"], np.frombuffer(r["edges"], np.uint64)) for r in sorted(figures, key=lambda r: r["shard"])])
+    all_tokens = sum(r["tokens"] for r in figures)  # contexts: each token but the end marks, and each begin mark; as many as tokens
+    norm = all_tokens + ADD * (distinct + (texts > 0) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(mend)  # four figures a shard at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Block | None = None
-        got: list[list[np.ndarray]] = []
+        head: list | None = None
+        got: list[tuple[int, list[np.ndarray]]] = []
 
         def finish() -> pa.RecordBatch:
-            total, backoff, code = (np.concatenate(x) for x in zip(*got, strict=True))
-            count = np.zeros(len(block.vocab), np.int64)
-            count[: len(total)] = total
-            if block.vocab[-1] == np.uint64(END):
-                count[-1] = texts
-            unigram = (count + ADD) / norm
-            weight = np.where(total > 0, restore(backoff), 1.0)
-            p = restore(code) + weight[block.context] * unigram[block.word]
-            each = np.log10(p)[block.of_event]
-            base = np.log10(unigram)[block.token]
-            sums = [np.add.reduceat(x, block.starts) for x in (each, base, (count > 0)[block.token].astype(np.int64))]
-            return pa.RecordBatch.from_arrays([pa.array(block.names, pa.int64()), pa.array(block.held.astype(bool)), pa.array(block.sizes), pa.array(sums[2]), pa.array(np.full(len(block.sizes), all_tokens)), pa.array(sums[1]), pa.array(sums[0])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            ids, nulls, held, sizes, token = head
+            n_words = int(token.max()) + 1
+            b = Block(sizes, token.astype(np.int64), n_words)
+            each = assembled(b, n_words, got, shared.value, texts, norm)
+            sums = [np.add.reduceat(x.astype(kind), b.starts) for x, kind in zip(each, (np.float64, np.float64, np.int64), strict=True)]
+            names = [None if z else int(d) for d, z in zip(ids, nulls, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(held.astype(bool)), pa.array(sizes), pa.array(sums[2]), pa.array(np.full(len(sizes), all_tokens)), pa.array(sums[1]), pa.array(sums[0])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         for b in batches:
             for shard, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if shard < 0:
-                    if block is not None:
+                    if head is not None:
                         yield finish()
-                    block, got = Block(blob), []
+                    head, got = get(blob), []
                 else:
-                    got.append(get(blob))
-        if block is not None:
+                    got.append((shard, get(blob)))
+        if head is not None:
             yield finish()
 
     both = blocks.select("block", F.lit(-1).alias("shard"), "blob").unionByName(answers.where("block >= 0").select("block", "shard", "blob"))
