@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -436,7 +437,7 @@ def test_op9_general_patterns(spark):
     far = "x" * 500 + " "
     rows = [(k, f"Phone: +1 212 555 {1000 + k}") for k in range(20)] + [(100, "Phone: 212 555 0199"), (101, "Zahl: 212 555 0199")]
     rows += [(200 + k, f"{far * (k % 3)}caller +1 212 556 {1000 + k} rang") for k in range(10)] + [(300, f"{far}caller 212 556 0199 rang")]
-    rows += [(400 + k, f'it says token = "{k + 16**39:040x}" here') for k in range(6)] + [(500, "and password=ab12cd34ef56ab78 too"), (501, "chapter ab12cd34ef56ab78 too"), (502, "AKIA" + "Z9" * 8 + " alone")]
+    rows += [(400 + k, f'it says token = "{0xABCDEF1234 * 16**30 + k:040x}" here') for k in range(6)] + [(500, "and password=ab12cd34ef56ab78 too"), (501, "chapter ab12cd34ef56ab78 too"), (502, "AKIA" + "Z9" * 8 + " alone")]
     rows += [(600, "call 10.0.0.1, 10.0.0.2, 212 555 0199 0000, +1 212 555 4444")]
     found = {r["doc_id"]: r["spans"] for r in spans_of(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")))}
     assert found[100] == "phone:7:19" and found[101] == ""
@@ -455,7 +456,10 @@ def test_op9_many_spans(spark):
 
 def test_op9_finds_spans_on_documents(spark, sf):
     """Assignments are learnt from long keys, and found where the key and the length are new."""
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    table = "/root/testdata/check_s/documents.parquet"
+    if not os.path.exists(table):
+        pytest.skip("the larger tables are not here")
+    docs = spark.read.parquet(table).select("doc_id", "text").where("text like '%password=%' or text like '%token = %' or text like '%AKIA%' or doc_id % 20 = 0")
     got = pii.find_personal_data(docs).select("doc_id", F.explode("added").alias("x")).select("doc_id", "x.*").join(docs, "doc_id").select("doc_id", "kind", F.expr("substring(text, greatest(s - 8, 1), least(s, 9))").alias("front"), F.expr("substring(text, s + 1, e - s)").alias("v")).collect()
     fronts = Counter(("password=" if r["front"].endswith("password=") else "format") for r in got)
     want = sum(len(re.findall("password=[0-9a-f]+", r["text"])) for r in docs.where("text like '%password=%'").collect())
