@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Rows that one Python step works on at a time; long texts make shorter slices.
 SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 
@@ -37,15 +37,6 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{os.path.realpath(tempfile.mkdtemp(prefix='brindle-'))}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/brindle-{tag}-{uuid.uuid4().hex}"
 
@@ -96,7 +87,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 class WordCache:
     """Hashes of words that a worker remembers, up to about `most` bytes; then it starts anew (one text's words always fit)."""
 
-    def __init__(self, hash_one: Callable[[Any], int], most: int = 40 << 20):
+    def __init__(self, hash_one: Callable[[Any], int], most: int = 32 << 20):
         self.hash_one, self.most, self.held = hash_one, most, 0
         self.known: dict[Any, int] = {}
 

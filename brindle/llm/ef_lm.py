@@ -47,8 +47,9 @@ from pyspark.sql import functions as F
 from .common import WordCache, documents, drop_table, materialize, materialize_counted, slices, texts_of
 from .elias_fano import EliasFano, mapped
 
-#: Tokens that make a block, and a shard on average; the most shards (beyond that, shards grow: 40 bytes a token while one is built).
-BLOCK_TOKENS, SHARD_TOKENS, MOST_SHARDS = 1 << 20, 1 << 21, 1 << 20
+#: Tokens that make a block.  Tokens a shard has on average: small ones spread small corpora over the cores, and from FEW_SHARDS
+#: shards on they grow to large ones, as a block sends a row to each (100 bytes a token while one is built); the most shards.
+BLOCK_TOKENS, SMALL_SHARD, LARGE_SHARD, FEW_SHARDS, MOST_SHARDS = 1 << 20, 1 << 20, 1 << 23, 1 << 10, 1 << 20
 #: Words of blocks that make a lexicon shard on average, and the most of them; classes of frequency (powers of two).
 LEXICON_WORDS, MOST_LEXICON_SHARDS, CLASSES = 1 << 20, 1 << 16, 64
 #: Blocks that say where shards end, and places that each names.
@@ -176,6 +177,7 @@ class Block:
         after = np.concatenate((token[1:], [0]))
         after[self.starts + sizes - 1] = END_ID
         pair = (before.astype(np.uint64) << self.bits) | token.astype(np.uint64)
+        del before
         if 3 * int(self.bits) <= 64:
             key, self.of_event = np.unique((pair << self.bits) | after.astype(np.uint64), return_inverse=True)
             runs = heads_of(key >> self.bits)
@@ -529,7 +531,7 @@ def score_documents(docs: DataFrame, held_out: Column, shards: int | None = None
     drop_table(raw)
     drop_table(lexicon)
 
-    shards = shards or min(MOST_SHARDS, -(-seen["tokens"] // SHARD_TOKENS) or 1)
+    shards = shards or min(MOST_SHARDS, -(-seen["tokens"] // min(max(seen["tokens"] // FEW_SHARDS, SMALL_SHARD), LARGE_SHARD)) or 1)
     ends = shard_ends(blocks, shards)
     asked = _queries(blocks, ends).repartition(n, "shard").sortWithinPartitions("shard", "block")
     answers = materialize(_answers(asked, int(FIRST_ID + sizes.sum()).bit_length(), ends), "lm-answers")
