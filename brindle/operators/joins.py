@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def single_join(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """A scalar per left row: NULL without a match, an error with more than one."""
-    one = right.groupBy(*keys).agg(F.count("*").alias("__n"), F.any_value(value).alias(value))
-    checked = one.withColumn(value, F.when(F.col("__n") <= 1, F.col(value)).otherwise(F.raise_error(F.lit("a scalar subquery gave more than one row")).cast(one.schema[value].dataType))).drop("__n")
-    return left.join(checked, keys, "left")
+    """A scalar per left row: NULL without a match, an error if a left row meets more than one (keys that no left row has may repeat)."""
+    n = "__n"
+    one = right.groupBy(*keys).agg(F.count("*").alias(n), F.any_value(value).alias(value))
+    kind = one.schema[value].dataType
+    # the check stands above the join: it looks at keys that were met, and only there
+    checked = F.when(F.coalesce(F.col(n), F.lit(0)) <= 1, F.col(value)).otherwise(F.raise_error(F.lit("a scalar subquery gave more than one row")).cast(kind))
+    return left.join(one, keys, "left").withColumn(value, checked).drop(n)
 
 
 def mark_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, mark: str = "mark") -> DataFrame:
@@ -29,20 +32,38 @@ def mark_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     return joined.withColumn(mark, value).drop("__r", "__hit", "__nulls", "__rows")
 
 
-def quantified_value(left: DataFrame, right: DataFrame, row_key: list[str], compare: Callable[[Column, Column], Column], left_value: str, right_value: str, quantifier: str, out: str, on: Column | None = None) -> DataFrame:
-    """left and `out` = left_value op ANY|ALL (right) in three-valued logic, for any comparison.
+COMPARE: dict[str, Callable[[Column, Column], Column]] = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 
-    row_key names left's unique columns.  For order comparisons prefer min/max forms; this general form
-    aggregates the matched comparisons per left row.
+
+def quantified_value(left: DataFrame, right: DataFrame, row_key: list[str], op: str, left_value: str, right_value: str, quantifier: str, out: str, on: Column | None = None) -> DataFrame:
+    """left and `out` = left_value op ANY|ALL (right) in three-valued logic.
+
+    Without `on`, right is reduced to one row of facts (least, greatest, counts), or for = ANY and <> ALL to
+    its distinct values in a hash join; no row pairs are compared.  With `on` (give it equalities: the
+    correlation) the rows that it joins are compared and aggregated by row_key, left's unique columns.
     """
+    any_, compare = quantifier.upper() in ("ANY", "SOME"), COMPARE[op]
+    if on is None and op == ("=" if any_ else "<>"):
+        found = mark_join(left, right, left_value, right_value, out)
+        return found if any_ else found.withColumn(out, ~F.col(out))
+    x = F.col(left_value)
+    if on is None:
+        v = F.col(right_value)
+        facts = right.agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.count("*").alias("__rows"), F.count(v).alias("__known"))
+        joined = left.crossJoin(F.broadcast(facts))  # facts is one row
+        if op in ("=", "<>"):
+            decided = (x != F.col("__lo")) | (x != F.col("__hi"))
+        else:
+            bound = F.col("__hi" if (op[0] == ">") != any_ else "__lo")
+            decided = compare(x, bound) if any_ else ~compare(x, bound)
+        unknown = x.isNull() | (F.col("__known") < F.col("__rows"))
+        value = F.when(decided, any_).when(F.col("__rows") == 0, not any_).when(unknown, F.lit(None).cast("boolean")).otherwise(not any_)
+        return joined.withColumn(out, value).drop("__lo", "__hi", "__rows", "__known")
     r = right.select(F.col(right_value).alias("__r"), *[c for c in right.columns if c != right_value], F.lit(True).alias("__m"))
-    joined = left.join(r, on if on is not None else F.lit(True), "left")
-    c = compare(F.col(left_value), F.col("__r"))
-    true_, false_, null_ = (F.coalesce(F.max((F.col("__m") & x).cast("int")), F.lit(0)) == 1 for x in (F.coalesce(c, F.lit(False)), F.coalesce(~c, F.lit(False)), c.isNull()))
-    if quantifier.upper() in ("ANY", "SOME"):
-        value = F.when(true_, True).when(null_, F.lit(None).cast("boolean")).otherwise(False)
-    else:
-        value = F.when(false_, False).when(null_, F.lit(None).cast("boolean")).otherwise(True)
+    joined = left.join(r, on, "left")
+    c = compare(x, F.col("__r"))
+    true_, false_, null_ = (F.coalesce(F.max((F.col("__m") & y).cast("int")), F.lit(0)) == 1 for y in (F.coalesce(c, F.lit(False)), F.coalesce(~c, F.lit(False)), c.isNull()))
+    value = F.when(true_ if any_ else false_, any_).when(null_, F.lit(None).cast("boolean")).otherwise(not any_)
     keep = [c for c in left.columns if c not in row_key]
     return joined.groupBy(*row_key).agg(*(F.any_value(c).alias(c) for c in keep), value.alias(out))
 

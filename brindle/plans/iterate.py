@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and reread, so that plans stay short and lost executors cost one round."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{os.path.realpath(tempfile.mkdtemp(prefix='brindle-'))}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/brindle-loop-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/brindle-loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -28,16 +24,16 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, cut_ever
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     out = e.groupBy("src").agg(F.count("*").alias("d"))
     links = cut(e.join(out, "src"))
-    nodes = cut(nodes)
+    nodes = cut(nodes.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")))
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for k in range(rounds):
         sent = links.join(ranks, links.src == ranks.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("got"))
-        held = ranks.join(links.select(F.col("src").alias("id")).distinct(), "id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = nodes.join(sent, "id", "left").crossJoin(F.broadcast(held)).select("id", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
+        held = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        ranks = nodes.join(sent, "id", "left").crossJoin(F.broadcast(held)).select("id", "dangling", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank"))
         if k % cut_every == cut_every - 1:
             ranks = cut(ranks)
-    return ranks
+    return ranks.select("id", "rank")
 
 
 def kmeans(points: DataFrame, centers: list[tuple[float, float]], rounds: int = 10) -> DataFrame:

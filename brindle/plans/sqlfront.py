@@ -1,14 +1,17 @@
 """Engine: the SQL surface.  A dialect pass handles what Spark's parser or defaults don't, then spark.sql runs it.
 
-The pass (a) rewrites quantified comparisons with subqueries in filters, (b) gives ORDER BY items without
-NULLS FIRST/LAST the engine's null order (NULL is the greatest value).
+The pass (a) rewrites quantified comparisons with subqueries, wherever they stand, (b) gives ORDER BY items
+without NULLS FIRST/LAST the engine's null order (NULL is the greatest value).  Statements that change
+tables or settings (CREATE TABLE, INSERT, COPY, DROP TABLE, SET persist) go to plans/statements.py.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import TABLES, register_views
@@ -16,8 +19,8 @@ from ..sources import io
 
 _TOKEN = re.compile(r"\s+|--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|[A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d+)?|<>|!=|<=|>=|\|\||::|.", re.S)
 _COMPARE = {"=", "<>", "!=", "<", "<=", ">", ">="}
-_AGGREGATES = {"sum", "avg", "min", "max", "count", "stddev_samp", "var_samp", "any_value"}
-_CLAUSES = {"from", "where", "group", "having", "order", "limit", "union", "intersect", "except"}
+#: Words that can't end an operand.
+_STOPS = {"and", "or", "not", "where", "on", "having", "when", "then", "else", "select", "in", "between", "like", "is", "by", "case", "distinct"}
 
 
 def tokens(sql: str) -> list[str]:
@@ -58,6 +61,10 @@ def _opening(ts: list[str], k: int) -> int:
     raise ValueError("a parenthesis is closed twice")
 
 
+def _ends_operand(t: str) -> bool:
+    return bool(re.match(r"[\w'\"`)]", t[-1])) and t.lower() not in _STOPS
+
+
 def _operand_start(ts: list[str], end: int) -> int:
     """Where the operand that ends at `end` starts: a name path, literal, call or parenthesised expression, with arithmetic before it."""
     k = end
@@ -65,62 +72,99 @@ def _operand_start(ts: list[str], end: int) -> int:
         if ts[k] == ")":
             k = _opening(ts, k)
             p = _before(ts, k - 1)
-            if p >= 0 and re.match(r"[A-Za-z_]\w*$", ts[p]) and ts[p].lower() not in {"and", "or", "not", "where", "on", "having", "when", "select", "in"}:
+            if p >= 0 and re.match(r"[A-Za-z_]\w*$", ts[p]) and ts[p].lower() not in _STOPS:
                 k = p
+        elif ts[k].lower() == "end":  # CASE ... END
+            depth = 0
+            while k >= 0:
+                depth += (ts[k].lower() == "end") - (ts[k].lower() == "case")
+                if not depth:
+                    break
+                k -= 1
         p = _before(ts, k - 1)
-        if p >= 0 and ts[p] == ".":
+        if p >= 0 and ts[p] in {".", "::"}:
             k = _before(ts, p - 1)
             continue
         if p >= 0 and ts[p] in {"+", "-", "*", "/", "%", "||"}:
             q = _before(ts, p - 1)
-            if q >= 0 and (re.match(r"[\w'\"`)]", ts[q][-1])) and ts[q].lower() not in {"and", "or", "not", "where", "on", "having", "when", "select"}:
+            if q >= 0 and _ends_operand(ts[q]):
                 k = q
                 continue
+            if ts[p] in "+-":  # a sign
+                return p
         return k
 
 
-def _clauses(body: list[str]) -> dict[str, tuple[int, int]]:
-    """Top-level clause keyword -> its span of tokens."""
-    found, depth = [], 0
-    for j, t in enumerate(body):
+def _is_conjunct(ts: list[str], start: int, close: int) -> bool:
+    """Whether ts[start..close] is one of the ANDed conditions of a WHERE, where FALSE and NULL are alike (in doubt: no)."""
+    breaks = {"or", "not", "case", "when", "then", "else", "end", "between", "select", "on"}
+    depth, k = 0, start - 1
+    while k >= 0:
+        depth += (ts[k] == ")") - (ts[k] == "(")
+        if depth < 0 or (not depth and ts[k].lower() in breaks):
+            return False
+        if not depth and ts[k].lower() == "where":
+            break
+        k -= 1
+    if k < 0:
+        return False
+    ends, after = {"group", "having", "order", "limit", "union", "intersect", "except", "window", ";", ")"}, _next(ts, close + 1)
+    if after < len(ts) and ts[after].lower() not in ends | {"and"}:
+        return False
+    depth = 0
+    for t in ts[close + 1 :]:
         depth += (t == "(") - (t == ")")
-        if not depth and t.lower() in _CLAUSES:
-            found.append((t.lower(), j))
-    ends = [j for _, j in found[1:]] + [len(body)]
-    return {c: (j, e) for (c, j), e in zip(found, ends, strict=True)}
-
-
-def _membership(left: str, op: str, body: list[str], negate: bool) -> str:
-    """(NOT) EXISTS form of left op ANY/ALL (body), for filters."""
-    clauses = _clauses(body)
-    start = _next(body, 0)
-    items = body[start + 1 : clauses["from"][0] if "from" in clauses else len(body)]
-    simple = body[start].lower() == "select" and "from" in clauses and not {"group", "having", "union", "intersect", "except", "limit"} & clauses.keys() and not any(t.lower() in _AGGREGATES | {"distinct"} for t in items)
-    depth, flat = 0, True
-    for t in items:
+        if depth < 0 or (not depth and t.lower() in ends - {")"}):
+            break
+        if not depth and t.lower() in breaks:
+            return False
+    return True
+
+
+def _quantified(left: str, op: str, body: str, all_: bool, alone: bool, conjunct: bool) -> str:
+    """left op ANY|ALL (body) in three-valued logic, for any position; as a `conjunct`, a plain (anti) semi join will do.
+
+    `left` moves into scopes whose only names are __q and __v, so it still means what it meant outside.  A
+    body that stands `alone` (uncorrelated) is reduced to its least and greatest value and its counts where
+    the comparison allows, each computed once; otherwise EXISTS asks for a deciding row, then for an unknown one.
+    """
+    op = "<>" if op == "!=" else op
+    decided, default = ("FALSE", "TRUE") if all_ else ("TRUE", "FALSE")
+    if alone and op != ("<>" if all_ else "="):
+        fact = lambda f: f"(SELECT {f} FROM ({body}) AS __q(__v))"
+        low, high, rows, known = fact("min(__v)"), fact("max(__v)"), fact("count(*)"), fact("count(__v)")
+        if op in ("=", "<>"):  # = ALL fails, and <> ANY holds, if an end of the range differs
+            test = f"(({left}) <> {low} OR ({left}) <> {high})"
+        else:
+            bound = high if (op[0] == ">") == all_ else low
+            test = f"NOT (({left}) {op} {bound})" if all_ else f"({left}) {op} {bound}"
+        return f"(CASE WHEN {test} THEN {decided} WHEN {rows} = 0 THEN {default} WHEN ({left}) IS NULL OR {known} < {rows} THEN NULL ELSE {default} END)"
+    exists = lambda test: f"EXISTS (SELECT 1 FROM ({body}) AS __q(__v) WHERE {test})"
+    inverse = {"=": "<>", "<>": "=", "<": ">=", "<=": ">", ">": "<=", ">=": "<"}[op]
+    decide = f"({left}) {inverse if all_ else op} __q.__v"
+    if conjunct:
+        return f"(NOT {exists(f'({decide}) OR ({decide}) IS NULL')})" if all_ else f"({exists(decide)})"
+    return f"(CASE WHEN {exists(decide)} THEN {decided} WHEN {exists(f'(({left}) {op} __q.__v) IS NULL')} THEN NULL ELSE {default} END)"
+
+
+def _columns(body: list[str]) -> int:
+    """How many columns a SELECT (without *) or VALUES body gives; 1 where that can't be seen."""
+    k = _next(body, 0)
+    if body[k].lower() != "select":
+        return 1
+    depth, n = 0, 1
+    for t in body[k + 1 :]:
         depth += (t == "(") - (t == ")")
-        flat &= not (t == "," and not depth)
-    if not flat:
-        raise ValueError("a quantified subquery must give one column")
-    if simple:
-        words = [t for t in items if _solid(t)]
-        if len(words) > 2 and words[-2].lower() == "as":
-            items = items[: max(j for j, t in enumerate(items) if t.lower() == "as")]
-        source = "".join(body[clauses["from"][0] : clauses["from"][1]])
-        where = "".join(body[clauses["where"][0] + 1 : clauses["where"][1]]) if "where" in clauses else ""
-        value = "".join(items).strip()
-    else:
-        source, where, value = f"FROM ({''.join(body)}) AS __q(__v) ", "", "__q.__v"
-    test = f"({left}) {op} ({value})"
-    if negate:
-        test = f"(NOT ({test}) OR ({test}) IS NULL)"
-    return f"{'NOT ' if negate else ''}EXISTS (SELECT 1 {source} WHERE {f'({where}) AND ' if where else ''}{test})"
-
-
-def rewrite_quantified(sql: str) -> str:
-    """x op ANY|SOME|ALL (subquery) as EXISTS / NOT EXISTS; meant for filters, where NULL and FALSE are alike.
-
-    Under a NOT, or as a value, use operators.joins.quantified_value.
+        if not depth and t.lower() in ("from", "union", "intersect", "except", "where"):
+            break
+        n += t == "," and not depth
+    return n
+
+
+def rewrite_quantified(sql: str, alone: Callable[[str], bool] = lambda body: False) -> str:
+    """x op ANY|SOME|ALL (subquery) as CASE over EXISTS or over facts of the subquery; right in every position.
+
+    alone(body) says whether a subquery can be analysed by itself.
     """
     ts = tokens(sql)
     k = len(ts) - 1
@@ -129,8 +173,10 @@ def rewrite_quantified(sql: str) -> str:
             o, p = _next(ts, k + 1), _before(ts, k - 1)
             if o < len(ts) and ts[o] == "(" and p >= 0 and ts[p] in _COMPARE and (s := _next(ts, o + 1)) < len(ts) and ts[s].lower() in ("select", "values", "with"):
                 close, end = _closing(ts, o), _before(ts, p - 1)
-                start = _operand_start(ts, end)
-                new = _membership("".join(ts[start : end + 1]).strip(), ts[p], ts[o + 1 : close], ts[k].lower() == "all")
+                if _columns(ts[o + 1 : close]) != 1:
+                    raise ValueError("a quantified subquery must give one column")
+                start, body = _operand_start(ts, end), "".join(ts[o + 1 : close])
+                new = _quantified("".join(ts[start : end + 1]).strip(), ts[p], body, ts[k].lower() == "all", alone(body), _is_conjunct(ts, start, close))
                 ts[start : close + 1] = [new]
                 ts = tokens("".join(ts))
                 k = len(ts)
@@ -183,12 +229,35 @@ class Engine:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None):
         self.spark, self.persist, self.sf_dir = spark, False, sf_dir
         self.known: set[str] = set()
+        self.keys: dict[str, tuple[str, ...]] = {}
 
-    def sql(self, text: str) -> DataFrame:
+    def _name_tables(self, text: str) -> None:
         if self.sf_dir and (new := {t.strip('`"').lower() for t in tokens(text)}.intersection(TABLES) - self.known):
             register_views(self.spark, self.sf_dir, sorted(new))
             self.known |= new
-        return self.spark.sql(set_null_order(rewrite_quantified(text.strip().rstrip(";"))))
+
+    def _alone(self, body: str) -> bool:
+        """Whether a subquery is complete without the query around it (analysed, not run)."""
+        try:
+            _ = self.spark.sql(body).schema
+        except (AnalysisException, ParseException):
+            return False
+        return True
+
+    def sql(self, text: str) -> DataFrame:
+        """The rows of a query; a statement that changes tables or settings gives none."""
+        text = text.strip().rstrip(";").strip()
+        self._name_tables(text)
+        if (done := statements.execute(self, text)) is not None:
+            return done
+        return self.spark.sql(set_null_order(rewrite_quantified(text, self._alone)))
+
+    def script(self, text: str) -> DataFrame | None:
+        """Runs statements that end in semicolons; the last one's rows."""
+        last = None
+        for one in statements.split(text):
+            last = self.sql(one)
+        return last
 
     def add_table(self, name: str, table: pa.Table | DataFrame) -> None:
         df = io.from_arrow(self.spark, table) if isinstance(table, pa.Table) else table
@@ -198,19 +267,33 @@ class Engine:
         else:
             df.createOrReplaceTempView(name)
 
-    def append_table(self, name: str, table: pa.Table | DataFrame) -> None:
+    def append_table(self, name: str, table: pa.Table | DataFrame, columns: list[str] | None = None) -> None:
+        """Rows by position (of `columns`, if given; the others are NULL), cast to the table's types."""
         df = io.from_arrow(self.spark, table) if isinstance(table, pa.Table) else table
         now = self.spark.table(name)
-        new = io.cast_to(df, now.schema)
-        if self.persist:
-            new.write.insertInto(name)
-        else:
+        new = io.cast_to(df, now.schema, columns)
+        if self.spark.catalog.getTable(name).isTemporary:
             now.unionByName(new).createOrReplaceTempView(name)
+        else:
+            new.write.insertInto(name)
 
-    def create_table(self, name: str, schema: str) -> None:
-        """An empty table of the declared columns."""
+    def create_table(self, name: str, schema: str, key: tuple[str, ...] = ()) -> None:
+        """An empty table of the declared columns; the key is kept as information."""
         self.add_table(name, self.spark.createDataFrame([], schema))
+        self.keys[name.lower()] = key
+
+    def drop_table(self, name: str, missing_ok: bool = False) -> None:
+        if not self.spark.catalog.dropTempView(name):
+            self.spark.sql(f"DROP TABLE {'IF EXISTS ' if missing_ok else ''}{name}")
+        self.keys.pop(name.lower(), None)
 
     def copy_csv(self, name: str, path: str, **options: str) -> None:
         """COPY name FROM path: appends with the table's declared types."""
         self.append_table(name, io.read_csv(self.spark, path, self.spark.table(name).schema, **options))
+
+    def add_scalar(self, name: str, parameters: str, returns: str, expression: str) -> None:
+        """A scalar function of one's own, as an SQL expression that Catalyst inlines: add_scalar("twice", "x int", "int", "2 * x")."""
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {returns} RETURN {expression}")
+
+
+from . import statements  # noqa: E402  (it needs the tokens of this module)

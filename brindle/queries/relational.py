@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..catalog import table, tables
 from ..operators import joins
 from ..operators.relational import asc, desc, rollup, rows_frame, set_operation, top_k
 from ..plans.sqlfront import Engine
+from ..session import shared_dir
 from ..sources import io
 from .registry import query
 
@@ -35,12 +38,7 @@ by_sql("values_without_from", "SELECT 1 AS one, 'x' AS x")
 
 
 def _stored(spark: SparkSession, tag: str) -> str:
-    import os
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.realpath(tempfile.mkdtemp(prefix='brindle-'))}"
-    return f"{base.rstrip('/')}/brindle-{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/brindle-{tag}-{uuid.uuid4().hex}"
 
 
 @query("csv_import", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
@@ -65,16 +63,61 @@ def arrow(spark: SparkSession, d: str) -> DataFrame:
     return io.from_arrow(spark, io.to_arrow(table(spark, d, "region"))).withColumn("r_name", F.upper("r_name"))
 
 
-@query("engine_append_table", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 100, 'again' FROM nation WHERE n_nationkey < 5")
+@query("engine_append_table", "SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT -1 - o_orderkey, 'again' FROM orders")
 def append(spark: SparkSession, d: str) -> DataFrame:
     e = Engine(spark, d)
-    e.create_table("appended", "n_nationkey int, n_name string")
-    e.append_table("appended", table(spark, d, "nation").select("n_nationkey", "n_name"))
-    e.append_table("appended", e.sql("SELECT n_nationkey + 100, 'again' FROM nation WHERE n_nationkey < 5"))
+    e.create_table("appended", "o_orderkey bigint, o_orderstatus string")
+    e.append_table("appended", table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
+    e.append_table("appended", e.sql("SELECT -1 - o_orderkey, 'again' FROM orders"))
     return spark.table("appended")
 
 
-@query("result_hash")
+@query("statements_create_insert", "SELECT CAST(s_suppkey AS INTEGER) AS k, s_name AS name, CAST(CAST(s_acctbal AS DECIMAL(12,2)) AS DOUBLE) AS bal, CAST(NULL AS DATE) AS since FROM supplier UNION ALL SELECT * FROM (VALUES (-1, 'one', 2.5, DATE '1997-03-01'), (-2, 'it''s; two', NULL, NULL)) t")
+def statements_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Through SQL text alone: a table with keys, rows from a query, rows from VALUES."""
+    e = Engine(spark, d)
+    e.script("""SET persist = 0;
+        CREATE TABLE kept_suppliers (k integer not null, name varchar(25), bal numeric(12,2), since date, primary key (k));
+        INSERT INTO kept_suppliers (k, name, bal) SELECT s_suppkey, s_name, s_acctbal FROM supplier;
+        INSERT INTO kept_suppliers VALUES (-1, 'one', 2.5, '1997-03-01'), (-2, 'it''s; two', NULL, NULL);""")
+    return e.sql("SELECT k, name, CAST(bal AS DOUBLE) AS bal, since FROM kept_suppliers")
+
+
+@query("statements_copy", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def statements_copy(spark: SparkSession, d: str) -> DataFrame:
+    path = _stored(spark, "copied")
+    io.write_csv(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path, delimiter="|")
+    e = Engine(spark, d)
+    e.script(f"CREATE TABLE copied_orders (o_orderkey bigint primary key, o_custkey bigint, o_orderstatus char(1), o_totalprice double precision); COPY copied_orders FROM '{path}' DELIMITER '|' ESCAPE '\\'")
+    return e.sql("SELECT * FROM copied_orders")
+
+
+@query("statements_persist", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def statements_persist(spark: SparkSession, d: str) -> DataFrame:
+    """SET persist=1 puts new tables in the warehouse, where other sessions see them."""
+    name = f"persisted_{uuid.uuid4().hex}"
+    e = Engine(spark, d)
+    e.script(f"SET persist=1; CREATE TABLE {name} (r int, n bigint); INSERT INTO {name} SELECT n_regionkey, count(*) FROM nation GROUP BY n_regionkey")
+    kept = [tuple(r) for r in spark.newSession().table(name).collect()]  # one row a region
+    e.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame(kept, "n_regionkey int, n bigint")
+
+
+@query("arrow_file", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
+def arrow_file(spark: SparkSession, d: str) -> DataFrame:
+    path = _stored(spark, "arrow")
+    io.write_arrow(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), path)
+    return io.read_arrow(spark, path)
+
+
+@query("scalar_extension", "SELECT l_orderkey, l_linenumber, 2 * l_quantity + 1 AS q FROM lineitem")
+def scalar_extension(spark: SparkSession, d: str) -> DataFrame:
+    e = Engine(spark, d)
+    e.add_scalar("twice_and_one", "x double", "double", "2 * x + 1")
+    return e.sql("SELECT l_orderkey, l_linenumber, twice_and_one(l_quantity) AS q FROM lineitem")
+
+
+@query("result_hash", "SELECT md5(concat(count(*), ':', CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', n_name, n_nationkey, n_regionkey)), 1, 15)) AS BIGINT)) AS VARCHAR))) AS md5 FROM nation")
 def hashed(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(io.result_hash(table(spark, d, "nation")),)], "md5 string")
 
@@ -231,15 +274,25 @@ by_sql("subquery_all_correlated", "SELECT o_orderkey FROM orders WHERE o_totalpr
 def any_value(spark: SparkSession, d: str) -> DataFrame:
     n, r = tables(spark, d, "nation", "region")
     x, y = n.select("n_nationkey", F.expr(MARK).alias("x")), r.select(F.expr("case when r_regionkey = 0 then null else r_regionkey end").alias("y"))
-    return joins.quantified_value(x, y, ["n_nationkey"], lambda a, b: a > b, "x", "y", "ANY", "v").select("n_nationkey", "v")
+    return joins.quantified_value(x, y, ["n_nationkey"], ">", "x", "y", "ANY", "v").select("n_nationkey", "v")
 
 
 @query("subquery_all_value", f"SELECT n_nationkey, {MARK} > ALL (SELECT r_regionkey FROM region) AS v FROM nation")
 def all_value(spark: SparkSession, d: str) -> DataFrame:
     n, r = tables(spark, d, "nation", "region")
     x = n.select("n_nationkey", F.expr(MARK).alias("x"))
-    return joins.quantified_value(x, r.select(F.col("r_regionkey").alias("y")), ["n_nationkey"], lambda a, b: a > b, "x", "y", "ALL", "v").select("n_nationkey", "v")
-
+    return joins.quantified_value(x, r.select(F.col("r_regionkey").alias("y")), ["n_nationkey"], ">", "x", "y", "ALL", "v").select("n_nationkey", "v")
+
+
+# quantified comparisons in every position, with names that both scopes have
+NULLS = "(SELECT CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE n_nationkey END AS i, n_regionkey AS g FROM nation)"
+by_sql("subquery_any_same_name", "SELECT n_nationkey FROM nation WHERE n_nationkey = ANY (SELECT n_regionkey FROM nation)")
+by_sql("subquery_all_same_name", "SELECT n_nationkey FROM nation WHERE n_nationkey >= ALL (SELECT n_regionkey FROM nation)")
+by_sql("subquery_all_self", "SELECT o_orderkey FROM orders WHERE o_totalprice > ALL (SELECT o_totalprice / 2 FROM orders) OR o_orderkey <= ANY (SELECT o_custkey FROM orders)")
+by_sql("subquery_not_all_null", "SELECT n_nationkey FROM nation WHERE NOT (n_nationkey > ALL (SELECT CASE WHEN r_regionkey = 0 THEN NULL ELSE r_regionkey + 2 END FROM region))")
+by_sql("subquery_quantified_values", f"SELECT n_nationkey AS k, n_nationkey = ANY (SELECT i FROM {NULLS} b) AS a, n_nationkey <> ALL (SELECT i FROM {NULLS} b) AS b, n_nationkey > ANY (SELECT i FROM {NULLS} b) AS c, n_nationkey <= ALL (SELECT i FROM {NULLS} b) AS d, n_nationkey <> ANY (SELECT i FROM {NULLS} b WHERE i = 3) AS e, n_nationkey = ALL (SELECT i FROM {NULLS} b WHERE i = 3) AS f, -n_nationkey < ALL (SELECT i FROM {NULLS} b WHERE i > 100) AS g FROM nation")
+by_sql("subquery_correlated_values", f"SELECT i, i = ANY (SELECT i FROM {NULLS} b WHERE b.g = a.g) AS p, i = ANY (SELECT i FROM {NULLS} b WHERE 1 = 0 AND a.i = b.i) AS q, i > ALL (SELECT i - 1 FROM {NULLS} b WHERE b.g = a.g AND i IS NOT NULL) AS r, i <> ALL (SELECT i FROM {NULLS} b WHERE b.i = a.i) AS s FROM {NULLS} a")
+by_sql("subquery_correlated_any_filter", f"SELECT i FROM {NULLS} a WHERE i = ANY (SELECT i FROM {NULLS} b WHERE b.g = a.g) AND NOT i < ANY (SELECT i FROM {NULLS} b WHERE b.g = a.g)")
 
 by_sql("subquery_correlated_limit", "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS best FROM customer")
 

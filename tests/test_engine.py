@@ -47,9 +47,8 @@ def test_quantified_filter_and_value(spark, right, op, quantifier):
     key = lambda r: (r[0] is None, r[0] or 0)
     sql = f"SELECT x FROM ql WHERE x {op} {quantifier} (SELECT y FROM qr)"
     assert sorted((tuple(r) for r in Engine(spark).sql(sql).collect()), key=key) == sorted(con.sql(sql).fetchall(), key=key)
-    compare = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b}[op]
     rows = spark.table("ql").withColumn("id", F.monotonically_increasing_id())
-    got = joins.quantified_value(rows, spark.table("qr"), ["id"], compare, "x", "y", quantifier, "v").select("x", "v").collect()
+    got = joins.quantified_value(rows, spark.table("qr"), ["id"], op, "x", "y", quantifier, "v").select("x", "v").collect()
     assert sorted((tuple(r) for r in got), key=key) == sorted(con.sql(f"SELECT x, x {op} {quantifier} (SELECT y FROM qr) FROM ql").fetchall(), key=key)
 
 
@@ -102,11 +101,11 @@ def test_csv_nulls_and_insert_casts(spark, tmp_path):
 
 def test_engine_tables(spark, tmp_path):
     e = Engine(spark)
-    e.add_table("smoke", pa.table({"col1": [1, 2, 3, 4], "col2": ["foo", "foo", "bar", "bar"]}))
-    assert sorted(tuple(r) for r in e.sql("SELECT col2, sum(col1) FROM smoke GROUP BY col2;").collect()) == [("bar", 7), ("foo", 3)]
-    (tmp_path / "more.csv").write_text("5,baz\n")
-    e.copy_csv("smoke", f"file://{tmp_path}/more.csv")
-    assert spark.table("smoke").count() == 5
+    e.add_table("harvest", pa.table({"kilos": [12, 30, 8], "fruit": ["plum", "pear", "plum"]}))
+    assert sorted(tuple(r) for r in e.sql("SELECT fruit, sum(kilos) FROM harvest GROUP BY fruit;").collect()) == [("pear", 30), ("plum", 20)]
+    (tmp_path / "more.csv").write_text("5,quince\n")
+    e.copy_csv("harvest", f"file://{tmp_path}/more.csv")
+    assert spark.table("harvest").count() == 4
     e.persist = True
     e.create_table("kept", "k int, v string")
     e.append_table("kept", pa.table({"a": ["7"], "b": ["x"]}))
@@ -114,6 +113,94 @@ def test_engine_tables(spark, tmp_path):
     spark.sql("DROP TABLE kept")
 
 
+def test_statements(spark, tmp_path):
+    e = Engine(spark)
+    (tmp_path / "in.csv").write_text("7|seven|1.5\n8||\n")
+    e.script(f"""
+        -- a comment; with a semicolon
+        CREATE TABLE stock (id integer not null, label varchar(10), price decimal(5,2), seen timestamp, size float(53), primary key (id, label));
+        insert into stock values (1, 'a;b', 2.5, null, 1), (2, 'c''d', NULL, '2001-02-03 04:05:06', 2);
+        INSERT INTO stock (price, id) SELECT 3, 3;
+        CREATE TABLE priced (id bigint primary key, label text, price numeric(5,2));
+        COPY priced FROM '{tmp_path}/in.csv' WITH (FORMAT csv, DELIMITER '|', NULL '');""")
+    assert e.keys["stock"] == ("id", "label") and e.keys["priced"] == ("id",)
+    assert [(r["id"], r["label"], r["price"] and float(r["price"]), r["seen"] and r["seen"].year) for r in e.sql("SELECT * FROM stock ORDER BY id").collect()] == [(1, "a;b", 2.5, None), (2, "c'd", None, 2001), (3, None, 3.0, None)]
+    assert [(r[0], r[1], r[2] and float(r[2])) for r in e.sql("SELECT * FROM priced ORDER BY id").collect()] == [(7, "seven", 1.5), (8, None, None)]
+    assert dict(spark.table("stock").dtypes) == {"id": "int", "label": "string", "price": "decimal(5,2)", "seen": "timestamp_ntz", "size": "double"}
+    e.sql("DROP TABLE stock")
+    assert not spark.catalog.tableExists("stock")
+    e.sql("SET persist=1")
+    assert e.persist
+    e.sql("set persist to off")
+    assert not e.persist
+    with pytest.raises(ValueError, match="persist"):
+        e.sql("SET persist = maybe")
+
+
+def test_quantified_plans(spark, sf):
+    """An uncorrelated order comparison compares no pairs; equality with ANY becomes a semi join."""
+    e = Engine(spark, sf)
+    plan = lambda sql: e.sql(sql)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan("SELECT o_orderkey FROM orders WHERE o_totalprice >= ALL (SELECT l_extendedprice FROM lineitem)")
+    assert "LeftSemi" in plan("SELECT o_orderkey FROM orders WHERE o_orderkey = ANY (SELECT l_orderkey FROM lineitem)")
+
+
+def test_operands_of_quantified_comparisons(spark):
+    e = Engine(spark)
+    e.sql("CREATE TABLE ops (x int, y int)")
+    e.sql("INSERT INTO ops VALUES (1, 2), (3, NULL), (-5, 4)")
+    for sql, want in (
+        ("SELECT x FROM ops WHERE -x >= ALL (SELECT -x FROM ops)", [-5]),
+        ("SELECT x FROM ops WHERE x + 1 * 2 = ANY (SELECT 5)", [3]),
+        ("SELECT x FROM ops WHERE CASE WHEN x > 0 THEN 1 ELSE 2 END = ANY (SELECT 2)", [-5]),
+        ("SELECT x FROM ops o WHERE o.x::bigint <> ALL (SELECT x FROM ops WHERE ops.x > 0)", [-5]),
+        ("SELECT x FROM ops WHERE abs(x) = SOME (WITH t AS (SELECT 5 AS five) SELECT five FROM t)", [-5]),
+    ):
+        assert [r[0] for r in e.sql(sql).collect()] == want, sql
+    with pytest.raises(ValueError, match="one column"):
+        e.sql("SELECT x FROM ops WHERE x = ANY (SELECT x, y FROM ops)")
+
+
+def test_single_join_checks_met_keys_only(spark):
+    a, b = spark.createDataFrame([(1,), (3,)], "k int"), spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k int, v string")
+    assert sorted(tuple(r) for r in joins.single_join(a, b, ["k"], "v").collect()) == [(1, "x"), (3, None)]
+
+
+def test_arrow_files(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"s{k}" if k % 3 else None, k / 2) for k in range(20)], "k long, s string, d double").repartition(3)
+    io.write_arrow(df, f"file://{tmp_path}/t")
+    assert sorted(map(tuple, io.read_arrow(spark, f"file://{tmp_path}/t").collect())) == sorted(map(tuple, df.collect()))
+    io.write_arrow(df.limit(0), f"file://{tmp_path}/none")
+    assert io.read_arrow(spark, f"file://{tmp_path}/none").count() == 0
+    one = tmp_path / "one.arrow"
+    with pa.ipc.new_file(str(one), pa.schema([("a", pa.int32())])) as w:
+        w.write_table(pa.table({"a": pa.array([1, 2], pa.int32())}))
+    assert [r[0] for r in io.read_arrow(spark, str(one)).collect()] == [1, 2]
+
+
+def test_dump_values_passes_rows_on(spark):
+    assert io.dump_values(spark.range(3), "id").count() == 3
+
+
+def test_shared_folder(spark):
+    from brindle.session import shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster())
+
+
 def test_result_hash_ignores_order(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
     assert io.result_hash(a) == io.result_hash(a.orderBy(F.desc("k"))) != io.result_hash(a.where("k = 1"))
