@@ -1,13 +1,15 @@
 """Media columns: an Ogg container written and read in Arrow batches.
 
 A payload is stored losslessly as 64-byte sample blocks dealt over two logical streams (even and odd
-blocks).  Each stream has its own serial number; packets are cut into lacing values, packets may span
-pages, every page carries the container's checksum and a granule position that counts samples.  Reading
-verifies each page's checksum and sequence number, reassembles packets from lacing values, demultiplexes
-the streams and derives times from granule positions.
-
-Defined results: null text is an empty payload (64 zero bytes); equal texts give equal media; a damaged
-page raises OggError.
+blocks; a payload of one block leaves the second stream with its header alone).  Each stream has its own
+serial number; PACKET_BLOCKS blocks make a packet, packets are cut into lacing values and may span pages,
+every page carries the container's checksum and a granule position that counts samples.  Reading verifies
+each page's checksum and sequence number, reassembles packets from lacing values, demultiplexes the streams
+block by block and derives times from granule positions.
+
+Defined results: null or empty text is an empty payload (64 zero bytes); null doc_id is carried; repeated rows
+and equal texts give equal media; an empty table gives no rows; very long texts are treated whole, one at
+a time; further columns are ignored, whatever their names; a damaged page raises OggError.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ from .common import documents, slices, texts_of
 CAPTURE, VERSION, CONTINUED, FIRST, LAST, MAX_SEGMENTS = b"OggS", 0, 1, 2, 4, 255
 HEADER = struct.Struct("<4sBBqIIIB")
 #: Ours: what the first packet of each stream says, samples a second, bytes in a block, blocks in a packet.
-MAGIC, RATE, BLOCK, PACKET_BLOCKS = b"brdlpcm8", 8000, 64, 256
+MAGIC, RATE, BLOCK, PACKET_BLOCKS = b"brdlpcm8", 8000, 64, 16
 IDENT = struct.Struct("<8sBBIQ")
 
 _MIRROR = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
@@ -83,13 +86,11 @@ def mux(payload: bytes) -> bytes:
         raise OggError("payload is not a whole number of blocks")
     step, streams = BLOCK * PACKET_BLOCKS, []
     base = zlib.crc32(payload)
-    parts = [payload[k : k + step] for k in range(0, len(payload), step)]
+    blocks = np.frombuffer(payload, np.uint8).reshape(-1, BLOCK)
     for n in (0, 1):
-        own, packets, samples = parts[n::2], [], 0
-        packets.append((IDENT.pack(MAGIC, n, 2, RATE, sum(map(len, own))), 0))
-        for p in own:
-            samples += len(p)
-            packets.append((p, samples))
+        own = blocks[n::2].tobytes()
+        packets = [(IDENT.pack(MAGIC, n, 2, RATE, len(own)), 0)]
+        packets += [(own[k : k + step], min(k + step, len(own))) for k in range(0, len(own), step)]
         streams.append(stream_pages((base + n) & 0xFFFFFFFF, packets))
     pages = [streams[0][0], streams[1][0]]
     for k in range(1, max(map(len, streams))):
@@ -148,12 +149,16 @@ def demux(media: bytes) -> tuple[bytes, dict]:
         if magic != MAGIC or sum(map(len, s["packets"][1:])) != size or s["granule"] != size:
             raise OggError("a stream's length differs from its header's")
         order[n] = s
-    parts: list[bytes] = []
-    lists = [order[n]["packets"][1:] for n in sorted(order)]
-    for k in range(max(map(len, lists), default=0)):
-        parts += [x[k] for x in lists if k < len(x)]
+    if sorted(order) != [0, 1]:
+        raise OggError("the even or the odd blocks are missing")
+    own = [np.frombuffer(b"".join(order[n]["packets"][1:]), np.uint8) for n in (0, 1)]
+    if any(len(x) % BLOCK for x in own) or len(own[0]) - len(own[1]) not in (0, BLOCK):
+        raise OggError("the streams' blocks don't alternate")
+    blocks = np.empty(((len(own[0]) + len(own[1])) // BLOCK, BLOCK), np.uint8)
+    for n in (0, 1):
+        blocks[n::2] = own[n].reshape(-1, BLOCK)
     seconds = sum(s["granule"] / s["rate"] for s in order.values())
-    return b"".join(parts), {"streams": len(order), "pages": n_pages, "packets": sum(len(s["packets"]) for s in order.values()), "seconds": seconds}
+    return blocks.tobytes(), {"streams": len(order), "pages": n_pages, "packets": sum(len(s["packets"]) for s in order.values()), "seconds": seconds}
 
 
 def feature(payload: bytes, seen: dict) -> str:
