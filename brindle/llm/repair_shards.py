@@ -2,21 +2,25 @@
 
 Documents are range-partitioned by doc_id, encoded, and gathered into shards of whole documents.  Within a
 shard the frequent pairs of neighbouring symbols are replaced by nonterminals again and again; each round
-counts all pairs and replaces every pair that is frequent enough, from left to right.  A shard stores its
-rules, the expansion length of each rule, the final symbol sequence and the documents' offsets, so one
-document can be decoded without the others.
+counts all pairs and replaces every pair that is frequent enough, from left to right.  The rounds end when no pair
+is frequent enough, or no 16-bit symbol is left.  A pair whose slot of the round's table is taken waits for the
+next round; a round takes at least one pair, so none is dropped.  A shard stores its rules, the expansion
+length of each rule, the final symbol sequence, the expansion offset of every STRIDE-th symbol and the
+documents' offsets: a document is found by a search in the sampled offsets and decoded alone.
 
 File format (little-endian), one blob per shard, in the column `blob` of a Parquet table that also has the
 columns part, shard, start (ids before the shard in its part), n_docs, n_ids:
-    magic "BRDLRP1\\0", u32 first nonterminal, u32 rules, u32 symbols, u32 documents, u64 ids
+    magic "BRDLRP2\\0", u32 first nonterminal, u32 rules, u32 symbols, u32 documents, u64 ids
     u8  symbol width (2 or 4)
     rules   (left, right) pairs of that width
     u32     expansion length of each rule
     symbols of that width
-    i64     doc ids,  u8 null flags,  u32 ids of each document (with its end id)
+    u64     ids before every STRIDE-th symbol
+    i64     doc ids,  u8 null flags,  u64 ids before each document, and all (ends with the number of ids)
 
 Defined results: null text is an empty document (its end id alone); null doc_id sorts first; repeated rows
-are written again; ties of doc_id follow the text.
+are written again; ties of doc_id follow the text; an empty table gives no shards and no rows; very long
+texts make a shard of their own; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +38,10 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import documents, new_path, slices, texts_of, tokenizer_path
 
-MAGIC = b"BRDLRP1\0"
+MAGIC = b"BRDLRP2\0"
 HEAD = struct.Struct("<8sIIIIQB")
-#: ids that a shard gathers before it is written; rounds, least count and most new rules a round of a grammar.
-SHARD_IDS, ROUNDS, LEAST, RULES_A_ROUND = 1 << 20, 3, 8, 5000
+#: ids that a shard gathers before it is written; least count and most new rules a round of a grammar; symbols between sampled offsets.
+SHARD_IDS, LEAST, RULES_A_ROUND, STRIDE = 1 << 20, 8, 5000, 256
 
 #: Slots of the table that finds chosen pairs, and its multipliers.
 SLOT_BITS = 18
@@ -55,12 +59,12 @@ def runs_to_take(hits: np.ndarray) -> np.ndarray:
     return at[(np.arange(len(at)) - start) % 2 == 0]
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST, most: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k stands for the pair rules[k], written as symbol first + k."""
+def compress(ids: np.ndarray, first: int, least: int = LEAST, most: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule k stands for the pair rules[k], written as symbol first + k.  Rounds go on until no pair is frequent."""
     seq, rules, n_rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], 0
     narrow = first <= 0xFFFF
     room = 0x10000 - first if narrow else 1 << 22
-    for _ in range(rounds):
+    while True:
         most = min(most, room - n_rules)
         if len(seq) < 2 or most <= 0:
             break
@@ -131,49 +135,56 @@ def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
         seq = out
 
 
+def symbol_lengths(seq: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """Ids under each symbol."""
+    sizes = np.ones(len(seq), np.int64)
+    rule = seq >= first
+    sizes[rule] = lengths[seq[rule] - first]
+    return sizes
+
+
 def pack(doc_ids: list[int | None], encoded: list[bytes], first: int) -> tuple[bytes, int]:
     ids = np.frombuffer(b"".join(encoded), dtype="<u4")
     seq, rules = compress(ids, first)
+    lengths = expansion_lengths(rules, first)
+    ends = np.cumsum(symbol_lengths(seq, lengths, first))
+    offsets = np.concatenate(([0], ends))[: len(seq) : STRIDE] if len(seq) else np.zeros(0, np.int64)
     kind = "<u2" if first + len(rules) <= 0x10000 else "<u4"
     return b"".join((
-        HEAD.pack(MAGIC, first, len(rules), len(seq), len(encoded), len(ids), int(kind[2])), rules.astype(kind).tobytes(), expansion_lengths(rules, first).astype("<u4").tobytes(), seq.astype(kind).tobytes(),
-        np.array([d if d is not None else 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), np.array([len(e) // 4 for e in encoded], "<u4").tobytes(),
+        HEAD.pack(MAGIC, first, len(rules), len(seq), len(encoded), len(ids), int(kind[2])), rules.astype(kind).tobytes(), lengths.astype("<u4").tobytes(), seq.astype(kind).tobytes(), offsets.astype("<u8").tobytes(),
+        np.array([d if d is not None else 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], "u1").tobytes(), np.cumsum([0, *(len(e) // 4 for e in encoded)]).astype("<u8").tobytes(),
     )), len(ids)
 
 
 class Shard:
-    """A blob opened for reading; nothing is expanded until asked for."""
+    """A blob opened for reading; columns are views of it, and nothing is expanded until asked for."""
 
     def __init__(self, blob: bytes):
         magic, self.first, n_rules, n_seq, n_docs, self.n_ids, width = HEAD.unpack_from(blob)
         if magic != MAGIC or width not in (2, 4):
             raise ValueError("not a shard")
-        kind, at = f"<u{width}", HEAD.size
-        self.rules = np.frombuffer(blob, kind, 2 * n_rules, at).reshape(-1, 2)
-        at += 2 * n_rules * width
-        self.lengths = np.frombuffer(blob, "<u4", n_rules, at)
-        at += 4 * n_rules
-        self.seq = np.frombuffer(blob, kind, n_seq, at)
-        at += n_seq * width
-        docs = np.frombuffer(blob, "<i8", n_docs, at)
-        nulls = np.frombuffer(blob, "u1", n_docs, at + 8 * n_docs)
-        self.sizes = np.frombuffer(blob, "<u4", n_docs, at + 9 * n_docs).astype(np.int64)
+        at, out = HEAD.size, []
+        for kind, n in ((f"<u{width}", 2 * n_rules), ("<u4", n_rules), (f"<u{width}", n_seq), ("<u8", -(-n_seq // STRIDE)), ("<i8", n_docs), ("u1", n_docs), ("<u8", n_docs + 1)):
+            out.append(np.frombuffer(blob, kind, n, at))
+            at += out[-1].nbytes
+        rules, self.lengths, self.seq, self.offsets, docs, nulls, self.starts = out
+        self.rules, self.starts = rules.reshape(-1, 2), self.starts.astype(np.int64)
+        self.sizes = np.diff(self.starts)
         self.doc_ids = [None if z else int(d) for d, z in zip(docs, nulls, strict=True)]
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
 
-    def all_ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+    def ids(self, a: int, b: int) -> np.ndarray:
+        """ids from place a to b: a search in the sampled offsets, then the symbols between two samples."""
+        low = max(0, int(np.searchsorted(self.offsets, a, "right")) - 1)
+        high = int(np.searchsorted(self.offsets, b, "left"))
+        base, seq = int(self.offsets[low]) if len(self.offsets) else 0, self.seq[low * STRIDE : high * STRIDE]
+        ends = base + np.cumsum(symbol_lengths(seq, self.lengths, self.first))
+        x, y = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "left")) + 1
+        skip = a - (int(ends[x - 1]) if x else base)
+        return expand(seq[x:y], self.rules, self.first)[skip : skip + b - a]
 
     def document(self, k: int) -> np.ndarray:
-        """ids of the k-th document alone: expansion lengths say which symbols cover it."""
-        sizes = np.ones(len(self.seq), np.int64)
-        rule = self.seq >= self.first
-        sizes[rule] = self.lengths[self.seq[rule] - self.first]
-        ends = np.cumsum(sizes)
-        a, b = self.starts[k], self.starts[k + 1]
-        lo, hi = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, b, side="left")) + 1
-        skip = a - (ends[lo] - sizes[lo])
-        return expand(self.seq[lo:hi], self.rules, self.first)[skip : skip + b - a]
+        """ids of the k-th document alone."""
+        return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
 def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> int:
@@ -218,7 +229,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col:
 
 
 def read_shards(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the shard files.
+    """doc_id, start, n_tokens, ids_crc32 of every document, each decoded by random access in the shard files.
 
     Only per-part totals (at most one row per part of the range shuffle) reach the driver.
     """
@@ -232,9 +243,8 @@ def read_shards(spark: SparkSession, out: str) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 s = Shard(row["blob"])
-                ids = s.all_ids().astype("<u4").tobytes()
                 at = before[row["part"]] + row["start"]
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(s.starts[:-1] + at), pa.array(s.sizes), pa.array([zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(s.starts[:-1], s.starts[1:], strict=True)], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(s.starts[:-1] + at), pa.array(s.sizes), pa.array([zlib.crc32(s.document(k).astype("<u4")) for k in range(len(s.doc_ids))], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return table.select("part", "start", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

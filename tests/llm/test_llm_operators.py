@@ -115,7 +115,7 @@ def test_op7_shards_read_back(spark, odd, empty, tmp_path):
 @given(st.lists(st.integers(0, 5), max_size=300), st.sampled_from([50257, 70000]))
 def test_repair_round_trip(ids, first):
     x = np.array(ids * 3, np.uint32)
-    seq, rules = repair_shards.compress(x, first, rounds=6, least=2)
+    seq, rules = repair_shards.compress(x, first, least=2)
     assert repair_shards.expand(seq, rules, first).tolist() == x.tolist()
     lengths = repair_shards.expansion_lengths(rules, first)
     assert [len(repair_shards.expand(np.array([first + k]), rules, first)) for k in range(len(rules))] == lengths.tolist()
@@ -125,9 +125,24 @@ def test_shard_random_access():
     docs = [np.random.default_rng(k).integers(0, 40, k * 37 % 900).astype("<u4") for k in range(30)]
     blob, n = repair_shards.pack(list(range(30)), [d.tobytes() for d in docs], 50257)
     shard = repair_shards.Shard(blob)
-    assert shard.n_ids == n and len(shard.rules)
+    assert shard.n_ids == n and len(shard.rules) and len(shard.offsets) > 1
     for k, d in enumerate(docs):
         assert shard.document(k).tolist() == d.tolist()
+    every = np.concatenate(docs)
+    for a, b in [(0, n), (5, 5), (n, n), *(sorted(RNG.sample(range(n), 2)) for _ in range(60))]:
+        assert shard.ids(a, b).tolist() == every[a:b].tolist()
+
+
+def test_repair_leaves_no_frequent_pair():
+    """Repeated documents become few symbols; a pair whose slot was taken is not lost."""
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 50_000, 3000).astype(np.uint32)
+    seq, rules = repair_shards.compress(np.concatenate([np.append(passage, k) for k in range(64)]).astype(np.uint32), 50257)
+    assert len(seq) < 64 * 30 and repair_shards.expansion_lengths(rules, 50257).max() > 100
+    pairs = Counter()
+    for a, b in zip(seq.tolist(), seq.tolist()[1:]):
+        pairs[a, b] += 1
+    assert max(pairs.values()) < 2 * repair_shards.LEAST  # overlapping places count twice
 
 
 def test_op6_packing(odd, empty):
@@ -180,6 +195,18 @@ def test_ogg_round_trip(data, times):
     assert back == payload and seen["streams"] == 2 and seen["seconds"] == pytest.approx(len(payload) / 8000)
 
 
+def test_ogg_blocks_alternate():
+    """Every second block goes to the second stream, also in short payloads."""
+    for n in (1, 2, 3, 16, 33, 100):
+        payload = b"".join(bytes([k % 251]) * 64 for k in range(n))
+        packets, media = {}, media_ogg.mux(payload)
+        for _, _, serial, seq, lacing, start, end in media_ogg.pages_of(media):
+            packets.setdefault(serial, []).append(media[start:end] if seq else b"")
+        first, second = ([x[k] for k in range(0, len(x), 64)] for x in (b"".join(p) for p in packets.values()))
+        assert first == [k % 251 for k in range(0, n, 2)] and second == [k % 251 for k in range(1, n, 2)]
+        assert media_ogg.demux(media)[0] == payload
+
+
 def test_ogg_checksum_is_the_containers():
     def slow(data):
         reg = 0
