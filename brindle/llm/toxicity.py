@@ -3,13 +3,16 @@
 Features of a text are the distinct hashes of its words, word pairs and word pairs with a gap.  The model is
 learnt online with per-coordinate rates; the L1 term leaves few weights other than zero, so the model is a
 short list (at most 2**BITS pairs, whatever the corpus) that is broadcast to score every text in one narrow
-pass.  Learning takes a bounded sample of labelled rows (MOST_TOXIC, MOST_CLEAN; the choice is by a hash of
-doc_id and each kept row is weighted by what it stands for); the sample's ids are broadcast, texts aren't
-shuffled.
+pass.  Learning takes a bounded sample of labelled rows (MOST_TOXIC, MOST_CLEAN, and MOST_FEATURE_BYTES of their
+features; the choice is by a hash of doc_id and each kept row is weighted by what it stands for, the mean
+weight being 1, so rates and sparsity don't depend on the number of labels); the sample's ids are
+broadcast, texts aren't shuffled.
 
 Defined results: null or empty text has no features and gets the model's base rate; null doc_id is scored
-and never learnt from; a document labelled more than once is toxic if any label says so; without labelled
-rows of both kinds every score is the share of toxic ones (0 without labels).
+and never learnt from; a document labelled more than once is toxic if any label says so; documents that
+repeat a doc_id are each learnt from; without labelled rows of both kinds every score is the share of toxic
+ones (0 without labels); an empty table gives no rows; very long texts are treated whole; further columns
+are kept, and one that has the score's name gives way to it.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, texts_of
+from .common import WordCache, documents, drop_table, materialize_counted, slices, texts_of
 
 BITS = 22
-MOST_TOXIC, MOST_CLEAN = 8_000, 10_000
+MOST_TOXIC, MOST_CLEAN, MOST_FEATURE_BYTES = 8_000, 10_000, 256 << 20
 #: Characters that don't belong to a word at its ends.
 EDGES = ".,;:!?\"'()[]{}|*#&%$…«»“”"
 MIX_A, MIX_B, MIX_C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -43,22 +46,14 @@ class Ftrl:
 
 
 class Hasher:
-    """Text -> distinct feature numbers; word hashes are remembered up to a bound."""
+    """Text -> feature numbers; word hashes are remembered up to a bound."""
 
-    def __init__(self, most: int = 300_000):
-        self.known, self.most = {}, most
-
-    def word(self, chunk: str) -> int:
-        return xxhash.xxh3_64_intdigest((chunk.lower().strip(EDGES) or chunk).encode())
+    def __init__(self):
+        self.known = WordCache(lambda chunk: xxhash.xxh3_64_intdigest((chunk.lower().strip(EDGES) or chunk).encode()))
 
     def features(self, text: str) -> np.ndarray:
         """Feature numbers, with repeats."""
-        chunks, known = text.split(), self.known
-        if len(known) > self.most:
-            known.clear()
-        for c in {*chunks}.difference(known):
-            known[c] = self.word(c)
-        h = np.fromiter(map(known.__getitem__, chunks), np.uint64, len(chunks))
+        h = self.known(text.split())
         near, gap = (h[:-1] * MIX_A) ^ (h[1:] * MIX_B), (h[:-2] * MIX_C) ^ (h[2:] * MIX_B)
         return (np.concatenate((h * MIX_A, near * MIX_C, gap * MIX_A)) >> np.uint64(64 - BITS)).astype(np.uint32)
 
@@ -96,18 +91,19 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def sample(labels: DataFrame, learn: Column, most_toxic: int, most_clean: int) -> tuple[DataFrame, float]:
-    """(doc_id, toxic, weight) of at most about that many labelled rows, and the share of toxic ones."""
+    """(doc_id, toxic, weight) of at most about that many labelled rows, weights of mean 1, and the share of toxic ones."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     p1, p0 = min(1.0, most_toxic / n1) if n1 else 0.0, min(1.0, most_clean / n0) if n0 else 0.0
     share = F.when(F.col("toxic") == 1, p1).otherwise(p0)
     kept = rows.where((F.xxhash64("doc_id", F.lit(17)).cast("double") / 2.0**64 + 0.5) < share)
-    weight = F.when(F.col("toxic") == 1, F.lit(1 / p1 if p1 else 0.0)).otherwise(F.lit(1 / p0 if p0 else 0.0))
+    mean = (n1 + n0) / (n1 * p1 + n0 * p0) if n1 + n0 else 1.0  # rows that a kept one stands for
+    weight = F.when(F.col("toxic") == 1, F.lit(1 / p1 / mean if p1 else 0.0)).otherwise(F.lit(1 / p0 / mean if p0 else 0.0))
     return kept.select("doc_id", "toxic", weight.alias("weight")), (n1 / (n1 + n0) if n1 + n0 else 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, params: Ftrl = Ftrl(), most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, params: Ftrl = Ftrl(), most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_bytes: int = MOST_FEATURE_BYTES) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature numbers, weights, bias).  The sample's features meet in one task: its size is bounded, not the corpus's."""
     chosen, share = sample(labels, learn, most_toxic, most_clean)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -131,16 +127,21 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, params: Ftrl = Ftrl
             at, w, bias = at[:0], w[:0], float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["at", "w", "bias"])
 
-    features = joined.mapInArrow(featurize, "doc_id long, toxic int, weight double, features binary")
-    row = features.repartition(1).mapInArrow(fit, "at binary, w binary, bias double")
-    got = row.collect()
+    made = joined.mapInArrow(featurize, "doc_id long, toxic int, weight double, features binary")
+    made, seen = materialize_counted(made, "toxicity", F.coalesce(F.sum(F.octet_length("features")), F.lit(0)).alias("bytes"))
+    features = made
+    if seen["bytes"] > most_bytes:  # long texts: fewer of them, of both kinds alike
+        features = made.where(F.xxhash64("doc_id", F.lit(23)).cast("double") / 2.0**64 + 0.5 < most_bytes / seen["bytes"])
+    got = features.repartition(1).mapInArrow(fit, "at binary, w binary, bias double").collect()
+    drop_table(made)
     if not got:
         return np.zeros(0, np.uint32), np.zeros(0, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     return np.frombuffer(got[0]["at"], np.uint32), np.frombuffer(got[0]["w"], np.float32), got[0]["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column: str = "score") -> DataFrame:
-    """All columns of docs and `column` (0 to 1) of the whole text; narrow."""
+    """All columns of docs and `column` (0 to 1) of the whole text, which replaces one of that name; narrow."""
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()))
     at, w, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((at, w))  # at most 2**BITS pairs
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
