@@ -1,8 +1,10 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Nothing is collected but two counters a round, observed by the job that writes the round to the shared
-folder.  A hub's
-neighbours are never gathered into one row: a step joins edges with an aggregated minimum.
+folder.  A hub's neighbours are never gathered into one row or one task: a step joins edges with an
+aggregated minimum, and both go by node and salt.  A round's table is deleted when the next one stands.
+
+Defined results: null ends and loops are ignored; repeated edges count once; no edges give no rows.
 """
 
 from __future__ import annotations
@@ -10,13 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize_counted
+from .common import drop_table, materialize_counted
+
+#: Tasks that a hub's edges are dealt to.
+SALTS = 16
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """Directed edges (u, v) and m, the least of u and all its v."""
-    least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return edges.join(least, "u")
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("part"))
+    least = parts.groupBy("u").agg(F.least(F.col("u"), F.min("part")).alias("m"))
+    return dealt.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -29,7 +36,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = _with_least(large)
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         # the sum is a hash of the edge set; equal twice means that the stars stand
+        last = e
         e, state = materialize_counted(nxt, "cc", F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))
+        if before is not None:
+            drop_table(last)
         if state == before:
             break
         before = state

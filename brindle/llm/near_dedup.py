@@ -6,6 +6,8 @@ elements at one given coordinate, so each coordinate fills; an earlier round alw
 as soon as nothing is empty (about n + t ln t values in all).  BANDS bands of ROWS coordinates give
 candidates, which are confirmed on full sets.
 
+Hot keys: a bucket's members and a leader's pairs are dealt over several tasks; the components' hubs likewise.
+
 Copies (equal sets) become one class first.  Classes that share a band bucket are compared with one leader
 of the bucket, not with each other; a bucket whose members are then in one component is done.  In the
 others a second leader is taken.  What then still shares a bucket across components goes through an exact
@@ -17,7 +19,8 @@ by a bitmap of fixed size.
 
 Defined results: null text is empty; an empty set has no links and is its own component; a null doc_id never
 names a component unless all its members are null, and is not kept; rows that repeat a doc_id are all kept
-or all not; further columns are ignored.
+or all not; ties of doc_id share the component's name; an empty table gives no rows; very long texts are
+treated whole; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, materialize_counted, slices, texts_of
+from .common import WordCache, documents, drop_table, materialize, materialize_counted, slices, texts_of
 from .components import connected_components
 
 #: 42 bands of 6: a pair at 0.8 is missed once in 3e5, one at 0.85 once in 4e8.
@@ -41,6 +44,21 @@ FILTER_BITS = 24
 LEADER_ROUNDS = 2
 #: Pairs up to this many may be broadcast (16 bytes each) to pick sets.
 FEW_PAIRS = 50_000
+#: Parts that the members of a bucket, and the pairs of a leader, are dealt to.
+MEMBER_SALTS, PAIR_SALTS = 8, 64
+
+
+def salt(column: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(salts).cast("long")).alias("salt")
+
+
+def with_salts(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """rows and the columns of found by key; rows of one key (with their salt) meet in several tasks, not in one.
+
+    found has a row a key at most, and is copied once for each salt that the key's rows have.
+    """
+    names = rows.groupBy(key, "salt").agg(F.lit(1).alias("one")).drop("one").join(found, key)
+    return rows.join(names, [key, "salt"])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,18 +73,14 @@ SEEDS = _mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E
 class Shingler:
     """Text -> sorted distinct 64-bit shingle hashes."""
 
-    def __init__(self, width: int, most: int = 350_000):
-        self.width, self.known, self.most = width, {}, most
+    def __init__(self, width: int):
+        self.width, self.known = width, WordCache(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str) -> np.ndarray:
-        words, known = text.encode("utf-8", "surrogatepass").lower().split(), self.known  # bytes: A-Z and ASCII white space only
+        words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
         if not words:
             return np.zeros(0, np.uint64)
-        if len(known) > self.most:
-            known.clear()
-        for w in {*words}.difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = self.known(words)
         k = min(self.width, len(h))
         n = len(h) - k + 1
         out = np.full(n, k, np.uint64)
@@ -111,17 +125,13 @@ def digest(x: np.ndarray) -> int:
 
 
 def squeezed(x: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    """A set as sorted 48-bit hashes: differences in byte planes, compressed."""
-    y = np.unique(x >> np.uint64(16))
-    d = np.diff(y, prepend=np.uint64(0)).astype("<u8")
-    return press.compress(d.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
+    """A sorted set of 64-bit hashes: differences in byte planes, compressed."""
+    return press.compress(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unsqueezed(blob: bytes, grow: zstandard.ZstdDecompressor) -> np.ndarray:
-    planes = np.frombuffer(grow.decompress(blob), np.uint8).reshape(6, -1)
-    d = np.zeros((planes.shape[1], 8), np.uint8)
-    d[:, :6] = planes.T
-    return np.cumsum(d.view("<u8").ravel())
+    planes = np.frombuffer(grow.decompress(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
@@ -221,7 +231,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     if seen["rows"] <= FEW_PAIRS:
         names = F.broadcast(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         sets = sets.join(names, "node", "left_semi")
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("blob").alias("blob_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")), "a").select("a", "b", "blob_a", "blob_b")
+    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("blob").alias("blob_b")), "b").select("a", "b", salt("b", PAIR_SALTS), "blob_b")
+    # a leader's set goes to as many tasks as its pairs need
+    names = pairs.select("a", salt("b", PAIR_SALTS)).distinct().join(sets.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")), "a")
+    joined = joined.join(names, ["a", "salt"]).select("a", "b", "blob_a", "blob_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor()
@@ -250,9 +263,11 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     all_rows = materialize(_sketched(kept, width), "sketches")
     classes = materialize(all_rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
-    member = classes.select(F.explode("bands").alias("key"), "node", "n", "first_id")
+    member = classes.select(F.explode("bands").alias("key"), "node", "n", "first_id", salt("node", MEMBER_SALTS))
     shared = member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    buckets = materialize(member.join(shared, "key"), "buckets")
+    # only keys that are shared get salts; their members are dealt by key and salt
+    places = shared.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MEMBER_SALTS - 1).cast("long"))).alias("salt"))
+    buckets = materialize(member.join(places, ["key", "salt"], "left_semi"), "buckets")
     sets = _sets(kept, width, buckets.select("node").distinct(), classes)
 
     component = classes.select("node", F.col("node").alias("component"))  # so far each class by itself
@@ -266,11 +281,11 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         m = m.withColumn("component", F.coalesce(F.col("component"), F.col("node"))) if merged is not None else m.withColumn("component", F.col("node"))
         order = F.struct("first_id", "node", "component", "n") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("first_id"), "node", "component", "n")
         live = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("leader")).where("lo < hi").select("key", "leader")
-        m = m.join(live, "key")
+        m = with_salts(m, "key", live)
         if turn < LEADER_ROUNDS:
             m, seen = materialize_counted(m, "live")
             pairs = m.where("node <> leader.node and component <> leader.component").where(fits("n", "leader.n")).select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
-            buckets = m.where("node <> leader.node").select("key", "node", "n", "first_id")
+            buckets = m.where("node <> leader.node").select("key", "node", "n", "first_id", "salt")
         else:
             m, seen = materialize_counted(m.select("node", "component").distinct(), "live")
             pairs = _prefix_pairs(m, sets, percent)

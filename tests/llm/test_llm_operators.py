@@ -13,6 +13,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import tokenizers
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -300,8 +301,23 @@ def test_sketch_fills_and_estimates():
 def test_set_squeeze_round_trip():
     import zstandard
 
-    x = np.unique(np.random.default_rng(2).integers(0, 2**64, 500, dtype=np.uint64))
-    assert near_dedup.unsqueezed(near_dedup.squeezed(x, zstandard.ZstdCompressor()), zstandard.ZstdDecompressor()).tolist() == (x >> np.uint64(16)).tolist()
+    for n in (1, 500):
+        x = np.unique(np.random.default_rng(2).integers(0, 2**64, n, dtype=np.uint64))
+        assert near_dedup.unsqueezed(near_dedup.squeezed(x, zstandard.ZstdCompressor()), zstandard.ZstdDecompressor()).tolist() == x.tolist()
+
+
+def test_op1_large_groups(spark):
+    """Thousands of near copies, and thousands of fillings of a template that are not near copies of each other."""
+    rng, rows = random.Random(11), []
+    passage = [f"p{k}" for k in range(90)]
+    for k in range(2000):  # one word changed near the end: all linked
+        rows.append((k, " ".join([*passage[:86], f"x{k}", *passage[87:]])))
+    frame = [f"f{k}" for k in range(60)]
+    for k in range(2000):  # 60 words in common, a paragraph of one's own: similarity about 0.56
+        rows.append((10_000 + k, " ".join([*frame, *(f"s{rng.randrange(10**7)}" for _ in range(18))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_components(df, 4).collect()}
+    assert all(got[k] == 0 for k in range(2000)) and all(got[10_000 + k] == 10_000 + k for k in range(2000))
 
 
 def test_components_of_paths_and_hubs(spark):
@@ -338,6 +354,10 @@ def test_op2_odd(spark, odd, empty):
         assert scored.columns == [*odd.columns, "toxicity"] and scored.count() == odd.count()
         assert all(0 <= r["toxicity"] <= 1 for r in scored.collect())
         assert toxicity.score(empty, toxicity.train(empty, lab, F.lit(True)), "toxicity").count() == 0
+    clash = toxicity.score(odd.withColumn("SCORE", F.lit("theirs")), toxicity.train(odd, labels, F.lit(True)))
+    assert clash.select("score").schema[0].dataType.typeName() == "double" and clash.select("score").count() == odd.count()
+    long = spark.createDataFrame([(1, LONG * 20)], "doc_id long, text string")
+    assert toxicity.score(long, toxicity.train(long, labels, F.lit(True))).count() == 1
 
 
 def test_ftrl_bounded_sample(spark):
@@ -345,7 +365,64 @@ def test_ftrl_bounded_sample(spark):
     kept, share = toxicity.sample(labels, F.lit(True), 200, 300)
     n = {r["toxic"]: (r["n"], r["w"]) for r in kept.groupBy("toxic").agg(F.count("*").alias("n"), F.max("weight").alias("w")).collect()}
     assert abs(n[1][0] - 200) < 60 and abs(n[0][0] - 300) < 80 and share == pytest.approx(1 / 3, abs=0.01)
-    assert n[0][1] == pytest.approx(3333 / 300, rel=0.01)
+    assert n[0][1] / n[1][1] == pytest.approx((3333 / 300) / (1667 / 200), rel=0.01)
+    assert (n[0][0] * n[0][1] + n[1][0] * n[1][1]) / (n[0][0] + n[1][0]) == pytest.approx(1, rel=0.05)
+
+
+def plain_ftrl(rows, p, bits):
+    """FTRL-proximal as published, a dict per vector: rows of (features, label, weight), in order."""
+    z, n, bias = {}, {}, 2**bits
+
+    def weight(i):
+        if i not in z or (i != bias and abs(z[i]) <= p.l1):
+            return 0.0
+        l1 = 0.0 if i == bias else p.l1
+        return -(z[i] - math.copysign(l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for at, label, importance in rows:
+            x = [*at, bias]
+            g = (1 / (1 + math.exp(-sum(map(weight, x)))) - label) * importance
+            w = {i: weight(i) for i in x}
+            for i in x:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_ftrl_against_the_plain_algorithm(spark):
+    rng, p = random.Random(8), toxicity.Ftrl(l1=0.4)
+    rows = [(k, " ".join(rng.choice("abcdefghij") * 2 for _ in range(12)) + (" foul" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(120)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    at, w, bias = toxicity.train(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"), F.lit(True), p)
+    hasher = toxicity.Hasher()
+    order = sorted(rows, key=lambda r: xxhash.xxh3_64_intdigest(str(r[0])))
+    want = plain_ftrl([(sorted(set(hasher.features(t).tolist())), y, 1.0) for _, t, y in order], p, toxicity.BITS)
+    assert bias == pytest.approx(want.pop(2**toxicity.BITS), rel=1e-6)
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx(want, rel=1e-5) and len(want) > 5
+
+
+def test_op2_does_not_depend_on_the_number_of_labels(spark):
+    """A hundred times the labels under the same bounds: the same sparsity and scores, up to the sample."""
+    rng = random.Random(9)
+    base = [(" ".join(f"w{rng.randrange(300)}" for _ in range(30)) + (" vile scum" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(300)]
+    models = []
+    for times in (1, 100):
+        docs = spark.createDataFrame([(j * 300 + k, t) for j in range(times) for k, (t, _) in enumerate(base)], "doc_id long, text string")
+        labels = spark.createDataFrame([(j * 300 + k, y) for j in range(times) for k, (_, y) in enumerate(base)], "doc_id long, toxic int")
+        models.append(toxicity.train(docs, labels, F.lit(True), most_toxic=60, most_clean=240))
+    test = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(base)], "doc_id long, text string")
+    a, b = ([r["score"] for r in toxicity.score(test, m).orderBy("doc_id").collect()] for m in models)
+    assert 0.3 < len(models[0][0]) / len(models[1][0]) < 3
+    assert all((x >= 0.5) == (y >= 0.5) == bool(t) for x, y, (_, t) in zip(a, b, base))
+
+
+def test_op2_bound_in_bytes(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(200)) + (" vile" if k % 2 else "")) for k in range(80)], "doc_id long, text string")
+    labels = spark.range(80).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    at, w, bias = toxicity.train(docs, labels, F.lit(True), toxicity.Ftrl(l1=0.5), most_bytes=60_000)  # of 190,000
+    assert len(at) and np.isfinite(w).all() and np.isfinite(bias)
 
 
 # -- fingerprints (3) ----------------------------------------------------------------------------------------------
