@@ -14,8 +14,9 @@ from functools import lru_cache
 
 import regex
 
-#: Distinct chunks that a Python worker remembers; beyond it the cache starts anew (memory bound).
-CACHE_CHUNKS = 700_000
+#: Distinct chunks that a Python worker remembers, and how long they may be; beyond CACHE_CHUNKS the cache starts anew, and
+#: longer chunks (text without spaces) are forgotten with their text, so that a cache has a bound in bytes too.
+CACHE_CHUNKS, CACHE_LENGTH = 700_000, 64
 
 #: The byte-level alphabet (bytes that stand for themselves; the rest follow from U+0100 on).
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -34,6 +35,13 @@ def byte_alphabet() -> dict[int, str]:
     return table
 
 
+def forget_long(known: dict, chunks: set) -> None:
+    """Drops those of the new chunks that are too long to be kept."""
+    for c in chunks:
+        if len(c) > CACHE_LENGTH:
+            known.pop(c, None)
+
+
 ALPHABET = byte_alphabet()
 #: Marks that are a pre-token of their own right after a word.
 MARKS = frozenset(".,;:!?")
@@ -167,9 +175,12 @@ class ByteEncoder:
                     x = self.first[head] = self.ids_of(head)
                 got.append(x)
                 later = self.later
-                for c in {*rest}.difference(later):
+                new = {*rest}.difference(later)
+                for c in new:
                     later[c] = self.ids_of(c, " ")
                 got += map(later.__getitem__, rest)
+                forget_long(later, new)
+                forget_long(self.first, {head})
         if len(self.later) > CACHE_CHUNKS:
             self.later.clear()
         if len(self.first) > CACHE_CHUNKS // 4:
@@ -221,9 +232,12 @@ class WordEncoder:
         chunks, known = self.front.chunks(text), self.known
         if len(known) > CACHE_CHUNKS:
             known.clear()
-        for c in {*chunks}.difference(known):
+        new = {*chunks}.difference(known)
+        for c in new:
             known[c] = self.ids_of(c)
-        return b"".join(map(known.__getitem__, chunks))
+        out = b"".join(map(known.__getitem__, chunks))
+        forget_long(known, new)
+        return out
 
 
 @lru_cache(maxsize=2)

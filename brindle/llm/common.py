@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -38,21 +39,55 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/brindle-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/brindle-{tag}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Tables in the shared folder that this process made and hasn't deleted, by application, oldest first.
+_made: dict[str, list[str]] = {}
+_PATH = "_brindle_path"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives the loss of any executor."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    made = _made.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
 
 
 def drop_table(df: DataFrame) -> None:
     """Deletes a table that materialize wrote, once nothing reads it any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-    if path is not None and path.getName().startswith("brindle-"):
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if path := getattr(df, _PATH, None):
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list]:
+    """Deletes what was materialized inside, but for the tables that are put into the list."""
+    before, keep = set(_made.get(spark.sparkContext.applicationId, [])), []
+    try:
+        yield keep
+    finally:
+        kept = {getattr(t, _PATH, None) for t in keep}
+        for path in [p for p in _made.get(spark.sparkContext.applicationId, []) if p not in before and p not in kept]:
+            _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators left in the shared folder; results that read them are gone too."""
+    for path in list(_made.get(spark.sparkContext.applicationId, [])):
+        _delete(spark, path)
 
 
 def materialize_counted(df: DataFrame, tag: str, *more: Column) -> tuple[DataFrame, dict]:

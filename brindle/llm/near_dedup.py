@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, drop_table, materialize, materialize_counted, slices, texts_of
+from .common import WordCache, documents, materialize, materialize_counted, scratch, slices, texts_of
 from .components import connected_components
 
 #: 42 bands of 6: a pair at 0.8 is missed once in 3e5, one at 0.85 once in 4e8.
@@ -260,6 +260,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    with scratch(docs.sparkSession) as keep:
+        rows, classes, merged = _classified(docs, width, percent, id_col, text_col)
+        keep += [rows, classes, *([] if merged is None else [merged])]
+    component = classes.select("node", F.col("node").alias("component"))  # each class by itself
+    if merged is not None:
+        component = classes.select("node").join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    firsts = classes.select("node", "first_id").join(component, "node")
+    least = firsts.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = firsts.join(least, "component").select("node", "component_id")
+    out = rows.select("doc_id", "n", "node").join(named, "node", "left")
+    component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"))
+
+
+def _classified(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows with their class, classes, and (node, component) of the classes that have links."""
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     all_rows = materialize(_sketched(kept, width), "sketches")
     classes = materialize(all_rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
@@ -270,7 +286,6 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     buckets = materialize(member.join(places, ["key", "salt"], "left_semi"), "buckets")
     sets = _sets(kept, width, buckets.select("node").distinct(), classes)
 
-    component = classes.select("node", F.col("node").alias("component"))  # so far each class by itself
     merged: DataFrame | None = None
 
     def fits(n_a: str, n_b: str):
@@ -304,14 +319,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             fresh = joined.select(F.col("component").alias("node"), F.col("into").alias("component")).join(of.select("node"), "node", "left_anti")
             merged = materialize(moved.unionByName(fresh), "merged")
 
-    if merged is not None:
-        component = classes.select("node").join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    firsts = classes.select("node", "first_id").join(component, "node")
-    least = firsts.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = firsts.join(least, "component").select("node", "component_id")
-    out = all_rows.select("doc_id", "n", "node").join(named, "node", "left")
-    component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"))
+    return all_rows, classes, merged
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

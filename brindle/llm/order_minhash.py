@@ -11,7 +11,8 @@ shuffle, of compressed texts.
 
 Defined results: null text is empty; an empty text's fingerprint is the hash of nothing and is like other
 empty texts only; a text shorter than K is one k-mer; null doc_id comes first; ties of doc_id are in a fixed
-order of their texts; a single document follows itself.
+order of their texts; a single document follows itself; repeated rows follow each other; an empty table gives
+no rows; very long texts are fingerprinted whole; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

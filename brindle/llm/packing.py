@@ -8,7 +8,8 @@ their rank among the pieces of their length.  Ranks are counted in salted groups
 of all pieces share is still dealt over many tasks.
 
 Defined results: null text is an empty document (its end id alone); null doc_id is carried; repeated rows
-are packed each time (they may exchange places); an empty table gives no pieces.
+are packed each time (they may exchange places); an empty table gives no pieces; very long texts are cut into
+as many pieces as they need; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, materialize
+from .common import documents, fresh, materialize, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
@@ -145,8 +145,10 @@ def learn_patterns(base: DataFrame, support: int = SUPPORT, share: float = SHARE
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, spans per kind (arrays email...), and `added`: array of kind, s, e."""
-    base = materialize(base_spans(docs, id_col, text_col), "pii-base")
-    patterns = learn_patterns(base)
+    with scratch(docs.sparkSession) as keep:
+        base = materialize(base_spans(docs, id_col, text_col), "pii-base")
+        patterns = learn_patterns(base)
+        keep += [base, patterns]
     loose = base.where("size(loose) > 0").select("row", F.explode("loose").alias("x")).select("row", "x.s", "x.e", F.explode(F.expr(PATTERNS)).alias("c"))
     best = loose.join(patterns, "c").groupBy("row", "s", "e").agg(F.max(F.struct("share", "kind"))["kind"].alias("kind"))
     more = best.groupBy("row").agg(F.collect_list(F.struct("kind", "s", "e")).alias("more"))

@@ -6,7 +6,8 @@ Counts of distinct chunks are kept in a bounded per-worker cache, so there is no
 that grows with the input.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); null doc_id is carried; repeated rows give
-repeated rows; further columns of the input are ignored.
+repeated rows; an empty table gives no rows; very long texts are counted whole; further columns of the
+input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,9 +45,12 @@ class Counter:
                 if (x := self.first.get(head)) is None:
                     x = self.first[head] = self.of_chunk(head)
                 later = self.later
-                for c in {*rest}.difference(later):
+                new = {*rest}.difference(later)
+                for c in new:
                     later[c] = self.of_chunk(" " + c)
                 n += x + sum(map(later.__getitem__, rest))
+                bpe.forget_long(later, new)
+                bpe.forget_long(self.first, {head})
         for cache in (self.first, self.later):
             if len(cache) > bpe.CACHE_CHUNKS:
                 cache.clear()

@@ -7,7 +7,8 @@ it.  Two tokens may stand together if merging their joined symbols gives those t
 pair).  So every shared prefix is encoded once, and a word's ids follow from the states on its path.
 
 Defined results: null text counts as empty (0 ids, empty decoding); repeated rows and null doc_id are
-carried; further columns are ignored.
+carried; an empty table gives no rows; very long texts are encoded whole; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -178,7 +179,9 @@ class IdBytes:
             known.clear()
         fresh = set().union(*cut).difference(known)
         known.update((c, np.array(ids, dtype="<u4").tobytes()) for c, ids in self.trie.encode_chunks(fresh).items())
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        bpe.forget_long(known, fresh)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -204,6 +207,7 @@ class Digests:
         for c in cut:
             got = [known[x] for x in c]
             out.append((sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
+        bpe.forget_long(known, fresh)
         return out
 
 
