@@ -1,7 +1,12 @@
 """A corpus pipeline: toxicity, near-dedup, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage returns to the
-shared folder and rereads it as the next stage's docs.  All stages but the last return the columns of docs.
+shared folder, rereads it as the next stage's docs and deletes what the stage left there besides.  All
+stages but the last return the columns of docs, whatever further ones there are and however they are called.
+
+Defined results: null and empty texts aren't toxic, aren't near copies of anything and stay; rows that repeat a
+doc_id, or have none, are rows of their own (of near copies the first row stays); an empty table gives an
+empty result of the same columns; very long texts are treated whole.
 """
 
 from __future__ import annotations
@@ -10,20 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import near_dedup, packing, pii, toxicity
-from brindle.llm.common import documents, materialize, tokenizer_path
+from brindle.llm.common import documents, drop_table, fresh, materialize, scratch, tokenizer_path
 
 #: Documents with this score or more go.
 TOXIC = 0.3
 
 
-def fresh(docs: DataFrame, name: str) -> str:
-    """A column name that docs doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose toxicity score is below TOXIC; the model learns from labels outside the held-out quarter."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -38,7 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     key = "doc_id"
     if not copies.isEmpty():  # ids don't name rows here: number the rows, and store the numbers before they are used
         key = fresh(docs, "row")
-        docs = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+        # in order of doc_id, so that of near copies the one with the least stays
+        docs = materialize(docs.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last()).withColumn(key, F.monotonically_increasing_id()), "numbered")
     found = near_dedup.near_components(docs, width=5, percent=80, id_col=key)
     stay = found.where("kept").select(F.col("doc_id").alias(key))
     return docs.join(stay, key, "left_semi").select(*[c for c in docs.columns if key == "doc_id" or c != key])
@@ -64,5 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch(spark) as keep:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(docs)
+        drop_table(before)  # a stage's table; the input isn't one
     return docs
