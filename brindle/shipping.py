@@ -1,4 +1,4 @@
-"""Gives Python workers the package when their path doesn't have it."""
+"""Gives Python workers the package."""
 
 from __future__ import annotations
 
@@ -14,14 +14,19 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Once an application: adds a zip of this package, unless PYTHONPATH or the working folder has it."""
-    on_path = [os.path.realpath(p) for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()) if p]
+    """Once an application: adds a zip of this package, unless driver and workers are one machine's processes and find it there.
+
+    The driver's path says nothing about a cluster's executors, so there it is always sent.
+    """
     context = spark.sparkContext
-    if str(ROOT) in on_path or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="brindle-"), "brindle.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted([*ROOT.glob("brindle/**/*.py"), *ROOT.glob("corpus_pipeline.py")]):
-            z.write(f, f.relative_to(ROOT))
-    context.addPyFile(path)
+    local = context.master == "local" or context.master.startswith("local[")
+    on_path = [os.path.realpath(p) for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()) if p]
+    if not (local and str(ROOT) in on_path):
+        path = os.path.join(tempfile.mkdtemp(prefix="brindle-"), "brindle.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted([*ROOT.glob("brindle/**/*.py"), *ROOT.glob("corpus_pipeline.py")]):
+                z.write(f, f.relative_to(ROOT))
+        context.addPyFile(path)
     _shipped.add(context.applicationId)
