@@ -27,7 +27,9 @@ def tokenizer_path(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table; where its scan has fewer parts than there are cores (a small file), its rows are dealt over the cores."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
 
 
 def fresh(docs: DataFrame, name: str) -> str:
