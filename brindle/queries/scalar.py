@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,9 +91,9 @@ def maths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", *(F.round(x, 9).alias(n) for x, n in ((F.sqrt(k), "a"), (F.sin(k), "b"), (F.cos(k), "c"), (F.asin(k / 30.0), "dd"), (F.log(k + 1), "e"), (F.exp(k / 10.0), "f"))))
 
 
-@query("fn_erf")
+@query("fn_erf", "SELECT n_nationkey, e FROM nation JOIN (VALUES " + ", ".join(f"({k}, {round(math.erf(k / 10), 9)!r}::DOUBLE)" for k in range(25)) + ") t(k, e) ON n_nationkey = k")
 def erf(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", F.round(scalars.erf((F.col("n_nationkey") / 10.0).cast("double")), 9).alias("e"))
+    return table(spark, d, "nation").select("n_nationkey", F.round(scalars.erf(F.col("n_nationkey") / 10.0), 9).alias("e"))
 
 
 @query("fn_random_in_range", "SELECT count(*) AS n, true AS inside FROM nation")
@@ -104,19 +106,42 @@ def random(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("loop_pagerank")
+ROUNDS, DAMPING = 10, 0.85
+
+
+def _pagerank_sql() -> str:
+    """The rounds written out, each a table expression."""
+    rounds = [f"""r{k} AS MATERIALIZED (SELECT nodes.id, {1 - DAMPING} / n + {DAMPING} * coalesce(got, 0) AS rank FROM nodes CROSS JOIN size
+        LEFT JOIN (SELECT dst, sum(rank / d) AS got FROM e JOIN out ON e.src = out.src JOIN r{k - 1} ON e.src = r{k - 1}.id GROUP BY dst) s ON nodes.id = s.dst)""" for k in range(1, ROUNDS + 1)]  # every node has an edge out
+    return f"""WITH bought AS MATERIALIZED (SELECT DISTINCT 'c' || o_custkey AS c, 'p' || l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+        e AS MATERIALIZED (SELECT c AS src, p AS dst FROM bought UNION ALL SELECT p, c FROM bought), out AS MATERIALIZED (SELECT src, count(*) AS d FROM e GROUP BY src),
+        nodes AS MATERIALIZED (SELECT src AS id FROM out), size AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM nodes CROSS JOIN size),
+        {", ".join(rounds)} SELECT id, round(rank, 12) AS rank FROM r{ROUNDS}"""
+
+
+@query("loop_pagerank", _pagerank_sql())
 def ranks(spark: SparkSession, d: str) -> DataFrame:
     """Customers and the parts they ordered, linked both ways; ids are the real keys behind c or p."""
     o, li = tables(spark, d, "orders", "lineitem")
     bought = li.join(o, li.l_orderkey == o.o_orderkey).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).dropna().distinct()
     e = bought.unionByName(bought.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return pagerank(e, rounds=10).select("id", F.round("rank", 15).alias("rank"))
+    return pagerank(e, rounds=ROUNDS, damping=DAMPING).select("id", F.round("rank", 12).alias("rank"))
+
+
+CENTERS, LLOYD = [(0.0, 0.0), (25.0, 20.0), (50.0, 40.0)], 8
+
+
+def _kmeans_sql() -> str:
+    near = lambda c: f"(SELECT px, py, cluster FROM (SELECT px, py, cluster, row_number() OVER (PARTITION BY id ORDER BY (px - x) * (px - x) + (py - y) * (py - y), cluster) AS place FROM points CROSS JOIN {c}) t WHERE place = 1)"
+    rounds = [f"c{k} AS MATERIALIZED (SELECT o.cluster, coalesce(avg(px), any_value(o.x)) AS x, coalesce(avg(py), any_value(o.y)) AS y FROM c{k - 1} o LEFT JOIN {near(f'c{k - 1}')} m ON o.cluster = m.cluster GROUP BY o.cluster)" for k in range(1, LLOYD + 1)]
+    first = ", ".join(f"({k}, {x}::DOUBLE, {y}::DOUBLE)" for k, (x, y) in enumerate(CENTERS))
+    return f"WITH points AS MATERIALIZED (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS px, p_retailprice / 50 AS py FROM part), c0 AS (SELECT * FROM (VALUES {first}) t(cluster, x, y)), {', '.join(rounds)} SELECT CAST(cluster AS INTEGER) AS cluster, round(avg(px), 6) AS x, round(avg(py), 6) AS y, count(*) AS n FROM {near(f'c{LLOYD}')} f GROUP BY cluster"
 
 
-@query("loop_kmeans")
+@query("loop_kmeans", _kmeans_sql())
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 50).alias("y"))
-    return kmeans(p, [(0.0, 0.0), (25.0, 20.0), (50.0, 40.0)], rounds=8).select("cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
+    return kmeans(p, CENTERS, rounds=LLOYD).select("cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
 
 
 # -- extra: event-time windows ------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import math
 import random
 from collections import Counter
@@ -213,8 +214,18 @@ def test_tracking(spark):
 
 
 def test_erf(spark):
-    got = spark.createDataFrame([(0.0,), (0.5,), (None,)], "x double").select(erf("x")).collect()
-    assert [r[0] for r in got[:2]] == pytest.approx([0.0, math.erf(0.5)]) and got[2][0] is None
+    xs = [0.0, 1e-9, 0.5, -0.5, 1.0, 2.5, -3.7, 5.9, 6.5, -40.0, float("inf"), float("-inf")]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in [*xs, float("nan"), None]], "x double").coalesce(1).select(erf(F.col("x"))).collect()]
+    assert got[: len(xs)] == pytest.approx([math.erf(x) for x in xs], abs=1e-14) and math.isnan(got[-2]) and got[-1] is None
+    assert "Python" not in spark.range(1).select(erf(F.col("id")))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_sums_of_large_groups(spark):
+    from brindle.queries.benchmark import exact_sum
+
+    big = 2**40 - 3
+    got = spark.range(1000).select(F.lit(big).cast("bigint").alias("v")).agg(exact_sum(F.col("v"), 4).alias("s")).first()["s"]
+    assert got == decimal.Decimal(big * 1000).scaleb(-4)
 
 
 def test_pagerank_sums_to_one_and_matches_brute_force(spark):
