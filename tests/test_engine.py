@@ -183,6 +183,31 @@ def test_dump_values_passes_rows_on(spark):
     assert io.dump_values(spark.range(3), "id").count() == 3
 
 
+def test_connections(spark, sf):
+    from brindle import api
+
+    c = api.in_memory(spark)
+    c.create_table("fleet", pa.table({"ship": ["a", "b"], "crew": [3, 5]}))
+    c.append("fleet", pa.table({"ship": ["c"], "crew": [8]}))
+    c.execute("CREATE TABLE ports (port varchar(5)); INSERT INTO ports VALUES ('x'), ('y')")
+    assert c.sql("SELECT sum(crew) AS n FROM fleet CROSS JOIN ports").to_pylist() == [{"n": 32}]
+    assert api.connect(sf, spark).query("SELECT count(*) FROM region").first()[0] == 5
+
+
+def test_shell(spark, sf, capsys):
+    import io as text
+
+    from brindle import shell
+
+    e = Engine(spark, sf)
+    for one in shell.typed(text.StringIO("CREATE TABLE seen (k int, v text);\nINSERT INTO seen\n VALUES (1, 'a;b'), (2, NULL); SELECT *\nFROM seen ORDER BY k;\nexit\nSELECT 1;"), ""):
+        shell.run(e, one)
+    shell.run(e, "SELECT count(*) AS regions FROM region", runs=3, times=True)
+    got = capsys.readouterr()
+    assert got.out.split("\n")[:4] == ["| k | v    |", "|---|------|", "| 1 | a;b  |", "| 2 | NULL |"] and got.out.count("regions") == 1
+    assert got.err.count("execution") == 3
+
+
 def test_shared_folder(spark):
     from brindle.session import shared_dir
 
