@@ -22,8 +22,14 @@ def _with_least(edges: DataFrame) -> DataFrame:
     """Directed edges (u, v) and m, the least of u and all its v."""
     dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("part"))
-    least = parts.groupBy("u").agg(F.least(F.col("u"), F.min("part")).alias("m"))
-    return dealt.join(parts.select("u", "salt").join(least, "u"), ["u", "salt"]).drop("salt")
+    least = parts.groupBy("u").agg(F.least(F.col("u"), F.min("part")).alias("m"), F.collect_list("salt").alias("salts"))  # SALTS at most
+    return dealt.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).drop("salt")
+
+
+def _both(rows: DataFrame, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
+    """Two edges (u, v) of each row, in one pass."""
+    edge = lambda c: F.struct(F.col(c[0]).alias("u"), F.col(c[1]).alias("v"))
+    return rows.select(F.explode(F.array(edge(first), edge(second))).alias("e")).select("e.*")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -31,10 +37,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _both(e, ("u", "v"), ("v", "u"))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _with_least(large)
-        nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        nxt = _both(small, ("v", "m"), ("u", "m")).where("u <> v").distinct()
         # the sum is a hash of the edge set; equal twice means that the stars stand
         last = e
         e, state = materialize_counted(nxt, "cc", F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))

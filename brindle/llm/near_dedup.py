@@ -44,23 +44,14 @@ FILTER_BITS = 24
 LEADER_ROUNDS = 2
 #: Pairs up to this many may be broadcast (16 bytes each) to pick sets.
 FEW_PAIRS = 50_000
-#: Parts that the members of a bucket, and the pairs of a leader, are dealt to.
-MEMBER_SALTS, PAIR_SALTS = 8, 64
+#: Parts that the members of a bucket, and the pairs of a leader, are dealt to; holders of a shingle that one task takes.
+MEMBER_SALTS, PAIR_SALTS, HOLDERS = 8, 64, 2000
 
 
 def salt(column: str, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts).cast("long")).alias("salt")
 
 
-def with_salts(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
-    """rows and the columns of found by key; rows of one key (with their salt) meet in several tasks, not in one.
-
-    found has a row a key at most, and is copied once for each salt that the key's rows have.
-    """
-    names = rows.groupBy(key, "salt").agg(F.lit(1).alias("one")).drop("one").join(found, key)
-    return rows.join(names, [key, "salt"])
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -216,10 +207,14 @@ def _prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = each.join(often, "shingle").withColumn("place", F.row_number().over(order))
     whole = 100 + percent
     probe, index = f"n - (({percent} * n + 99) div 100) + 1", f"n - (({2 * percent} * n + {whole - 1}) div {whole}) + 1"
-    ranked = ranked.where((F.col("place") <= F.expr(probe)) & (F.col("often") > 1)).select("shingle", "node", "component", "n", "place")
-    x, y = ranked.where(F.col("place") <= F.expr(index)).alias("x"), ranked.alias("y")
+    ranked = ranked.where((F.col("place") <= F.expr(probe)) & (F.col("often") > 1))
+    # a shingle that many hold is dealt over as many tasks: one side by salt, the other copied to each
+    salts = F.ceil(F.col("often") / HOLDERS)
+    columns = ["shingle", "node", "component", "n", "place"]
+    x = ranked.where(F.col("place") <= F.expr(index)).select(*columns, F.pmod(F.xxhash64("node"), salts).alias("salt")).alias("x")
+    y = ranked.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")).alias("y")
     need = f"({percent} * (x.n + y.n) + {whole - 1}) div {whole}"
-    met = x.join(y, F.expr(f"x.shingle = y.shingle and x.component <> y.component and (x.n < y.n or (x.n = y.n and x.node < y.node)) and 100 * x.n >= {percent} * y.n and 1 + least(x.n - x.place, y.n - y.place) >= {need}"))
+    met = x.join(y, F.expr(f"x.shingle = y.shingle and x.salt = y.salt and x.component <> y.component and (x.n < y.n or (x.n = y.n and x.node < y.node)) and 100 * x.n >= {percent} * y.n and 1 + least(x.n - x.place, y.n - y.place) >= {need}"))
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -295,8 +290,9 @@ def _classified(docs: DataFrame, width: int, percent: int, id_col: str, text_col
         m = buckets if merged is None else buckets.join(merged, "node", "left")
         m = m.withColumn("component", F.coalesce(F.col("component"), F.col("node"))) if merged is not None else m.withColumn("component", F.col("node"))
         order = F.struct("first_id", "node", "component", "n") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("first_id"), "node", "component", "n")
-        live = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("leader")).where("lo < hi").select("key", "leader")
-        m = with_salts(m, "key", live)
+        live = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(order).alias("leader"), F.collect_set("salt").alias("salts")).where("lo < hi")
+        # the leader goes to each salt that the bucket has, so the members of one key meet it in several tasks
+        m = m.join(live.select("key", "leader", F.explode("salts").alias("salt")), ["key", "salt"])
         if turn < LEADER_ROUNDS:
             m, seen = materialize_counted(m, "live")
             pairs = m.where("node <> leader.node and component <> leader.component").where(fits("n", "leader.n")).select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()

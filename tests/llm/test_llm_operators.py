@@ -289,6 +289,22 @@ def test_op1_near_groups(spark):
         assert some(near_dedup.near_components(df, width).collect()) == brute_components(rows, width, 80)
 
 
+def test_op1_prefix_filter_deals_hot_shingles(spark, monkeypatch):
+    """Without leaders, and with shingles that more hold than one task takes, the exact step alone finds every link."""
+    monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "HOLDERS", 3)
+    rng, rows = random.Random(12), []
+    for g in range(6):
+        words = [f"g{g}w{k}" for k in range(50)]
+        for k in range(25):
+            copy = list(words)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(50)] = f"v{rng.randrange(30)}"
+            rows.append((100 * g + k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert some(near_dedup.near_components(df, 4).collect()) == brute_components(rows, 4, 80)
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 100, 3000):
