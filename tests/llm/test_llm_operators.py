@@ -486,6 +486,21 @@ def test_order_minhash_against_brute_force():
     assert order_minhash.fingerprint(text).tolist() == want
 
 
+def test_likeness_falls_with_the_size_of_an_edit():
+    """Replacing a growing share of the words lowers the likeness, step by step on average over texts."""
+    rng, means = random.Random(14), []
+    texts_ = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(12)]
+    for share in (0.0, 0.02, 0.1, 0.3, 0.8):
+        total = 0.0
+        for t in texts_:
+            words = t.split()
+            for k in rng.sample(range(300), int(300 * share)):
+                words[k] = f"v{rng.randrange(5000)}"
+            total += order_minhash.likeness(order_minhash.fingerprint(t), order_minhash.fingerprint(" ".join(words)))
+        means.append(total / len(texts_))
+    assert means[0] == 1 and all(a > b for a, b in zip(means, means[1:])) and means[-1] < 0.1
+
+
 def test_order_matters():
     a = [f"sentence number {k} of this text." for k in range(60)]
     b = a[30:] + a[:30]
