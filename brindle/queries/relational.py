@@ -110,6 +110,20 @@ def arrow_file(spark: SparkSession, d: str) -> DataFrame:
     return io.read_arrow(spark, path)
 
 
+@query("tuple_tracking", "SELECT count(*) AS joined, (SELECT count(*) FROM orders) AS orders FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 5")
+def tracking(spark: SparkSession, d: str) -> DataFrame:
+    """Row counts of two places in one plan, observed while it runs."""
+    orders, seen_orders = io.tracked(table(spark, d, "orders"), f"orders {uuid.uuid4().hex}")
+    joined, seen_joined = io.tracked(orders.join(table(spark, d, "customer").where("c_nationkey < 5"), F.col("o_custkey") == F.col("c_custkey")), f"joined {uuid.uuid4().hex}")
+    joined.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen_joined.get["rows"], seen_orders.get["rows"])], "joined bigint, orders bigint")
+
+
+@query("value_dump", "SELECT r_regionkey, r_name FROM region")
+def dumped(spark: SparkSession, d: str) -> DataFrame:
+    return io.dump_values(table(spark, d, "region").select("r_regionkey", "r_name"), "r_name")
+
+
 @query("scalar_extension", "SELECT l_orderkey, l_linenumber, 2 * l_quantity + 1 AS q FROM lineitem")
 def scalar_extension(spark: SparkSession, d: str) -> DataFrame:
     e = Engine(spark, d)
