@@ -1,7 +1,8 @@
 """Engine: the SQL surface.  A dialect pass handles what Spark's parser or defaults don't, then spark.sql runs it.
 
 The pass (a) rewrites quantified comparisons with subqueries, wherever they stand, (b) gives ORDER BY items
-without NULLS FIRST/LAST the engine's null order (NULL is the greatest value).  Statements that change
+without NULLS FIRST/LAST the engine's null order (NULL is the greatest value), (c) turns date_diff's unit into a word.
+Statements that change
 tables or settings (CREATE TABLE, INSERT, COPY, DROP TABLE, SET persist) go to plans/statements.py.
 """
 
@@ -184,6 +185,16 @@ def rewrite_quantified(sql: str, alone: Callable[[str], bool] = lambda body: Fal
     return "".join(ts)
 
 
+def rewrite_functions(sql: str) -> str:
+    """date_diff('unit', a, b), whose unit is a string here and a word in Spark."""
+    ts = tokens(sql)
+    for k, t in enumerate(ts):
+        o = _next(ts, k + 1)
+        if t.lower() == "date_diff" and o < len(ts) and ts[o] == "(" and (u := _next(ts, o + 1)) < len(ts) and re.fullmatch(r"'[A-Za-z]+'", ts[u]):
+            ts[k], ts[u] = "timestampdiff", ts[u].strip("'").upper()
+    return "".join(ts)
+
+
 def set_null_order(sql: str) -> str:
     """ORDER BY items without a null order get NULLS LAST (ascending) or NULLS FIRST (descending)."""
     ts, out, k = tokens(sql), [], 0
@@ -250,7 +261,7 @@ class Engine:
         self._name_tables(text)
         if (done := statements.execute(self, text)) is not None:
             return done
-        return self.spark.sql(set_null_order(rewrite_quantified(text, self._alone)))
+        return self.spark.sql(set_null_order(rewrite_quantified(rewrite_functions(text), self._alone)))
 
     def script(self, text: str) -> DataFrame | None:
         """Runs statements that end in semicolons; the last one's rows."""

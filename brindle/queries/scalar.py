@@ -40,6 +40,9 @@ def date_diff(spark: SparkSession, d: str) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", scalars.date_diff_seconds(F.col("o_orderdate"), F.col("l_shipdate")).alias("s"))
 
 
+by_sql("fn_date_diff_text", "SELECT o_orderkey, date_diff('second', TIMESTAMP '1995-01-01', o_orderdate) AS s FROM orders WHERE date_diff('second', TIMESTAMP '1997-01-01', o_orderdate) > 0")
+
+
 @query("fn_extract", "SELECT event_id, CAST(extract(year FROM ts) AS BIGINT) AS y, CAST(extract(month FROM ts) AS BIGINT) AS m, CAST(extract(day FROM ts) AS BIGINT) AS dd, CAST(extract(hour FROM ts) AS BIGINT) AS h FROM events")
 def extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", *(scalars.date_part(f, F.col("ts")).alias(n) for f, n in (("year", "y"), ("month", "m"), ("day", "dd"), ("hour", "h"))))

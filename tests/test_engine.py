@@ -16,7 +16,7 @@ from brindle.functions.scalars import erf
 from brindle.operators import joins
 from brindle.operators.relational import set_operation
 from brindle.plans.iterate import kmeans, pagerank
-from brindle.plans.sqlfront import Engine, rewrite_quantified, set_null_order
+from brindle.plans.sqlfront import Engine, rewrite_functions, rewrite_quantified, set_null_order
 from brindle.sources import io
 from brindle.streaming.windows import windowed_counts
 
@@ -26,6 +26,10 @@ def test_rewrite_leaves_other_text_alone():
         assert rewrite_quantified(sql) == sql
 
 
+def test_function_pass():
+    assert rewrite_functions("SELECT date_diff('second', a, b), 'date_diff(''second'', a)' FROM t") == "SELECT timestampdiff(SECOND, a, b), 'date_diff(''second'', a)' FROM t"
+
+
 def test_null_order_pass():
     assert set_null_order("SELECT a FROM t ORDER BY a, b DESC LIMIT 3") == "SELECT a FROM t ORDER BY a NULLS LAST, b DESC NULLS FIRST LIMIT 3"
     assert set_null_order("SELECT a FROM t ORDER BY a NULLS FIRST") == "SELECT a FROM t ORDER BY a NULLS FIRST"
