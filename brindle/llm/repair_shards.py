@@ -157,7 +157,7 @@ def pack(doc_ids: list[int | None], encoded: list[bytes], first: int) -> tuple[b
 
 
 class Shard:
-    """A blob opened for reading; columns are views of it, and nothing is expanded until asked for."""
+    """A blob opened for reading; columns are views of it.  The rules are expanded once, documents when asked for."""
 
     def __init__(self, blob: bytes):
         magic, self.first, n_rules, n_seq, n_docs, self.n_ids, width = HEAD.unpack_from(blob)
@@ -171,16 +171,24 @@ class Shard:
         self.rules, self.starts = rules.reshape(-1, 2), self.starts.astype(np.int64)
         self.sizes = np.diff(self.starts)
         self.doc_ids = [None if z else int(d) for d, z in zip(docs, nulls, strict=True)]
+        self.flat = expand(np.arange(self.first, self.first + n_rules), self.rules, self.first)  # the rules' ids, one after another
+        self.places = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
 
     def ids(self, a: int, b: int) -> np.ndarray:
         """ids from place a to b: a search in the sampled offsets, then the symbols between two samples."""
         low = max(0, int(np.searchsorted(self.offsets, a, "right")) - 1)
         high = int(np.searchsorted(self.offsets, b, "left"))
         base, seq = int(self.offsets[low]) if len(self.offsets) else 0, self.seq[low * STRIDE : high * STRIDE]
-        ends = base + np.cumsum(symbol_lengths(seq, self.lengths, self.first))
+        sizes = symbol_lengths(seq, self.lengths, self.first)
+        ends = base + np.cumsum(sizes)
         x, y = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "left")) + 1
-        skip = a - (int(ends[x - 1]) if x else base)
-        return expand(seq[x:y], self.rules, self.first)[skip : skip + b - a]
+        start, seq, sizes = int(ends[x - 1]) if x else base, seq[x:y], sizes[x:y]
+        out = np.repeat(seq.astype(np.uint32), sizes)
+        long = np.flatnonzero(out >= self.first)
+        rule = out[long].astype(np.int64) - self.first
+        begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[long] = self.flat[self.places[rule] + long - begins[long]]
+        return out[a - start : b - start]
 
     def document(self, k: int) -> np.ndarray:
         """ids of the k-th document alone."""
