@@ -29,6 +29,8 @@ from .common import documents, slices, texts_of, tokenizer_path
 
 #: Pairs of tokens whose verdict a worker remembers.
 PAIRS = 500_000
+#: Rank of a pair that no merge joins.
+NEVER = 1 << 30
 
 
 class TrieEncoder:
@@ -58,11 +60,15 @@ class TrieEncoder:
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE merging, for the short strings that pair verdicts need."""
         rank, symbols = self.rank, list(symbols)
-        while len(symbols) > 1:
-            best, at = min((rank.get(p, 1 << 30), k) for k, p in enumerate(zip(symbols, symbols[1:])))
-            if best == 1 << 30:
-                break
+        ranks = [rank.get(p, NEVER) for p in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            at = ranks.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank.get((symbols[at - 1], symbols[at]), NEVER)
+            if at < len(ranks):
+                ranks[at] = rank.get((symbols[at], symbols[at + 1]), NEVER)
         return symbols
 
     def symbols(self, token: str) -> list[str]:
