@@ -261,9 +261,10 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     component = classes.select("node", F.col("node").alias("component"))  # each class by itself
     if merged is not None:
         component = classes.select("node").join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    firsts = classes.select("node", "first_id").join(component, "node")
-    least = firsts.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = firsts.join(least, "component").select("node", "component_id")
+    firsts = classes.select("node", "first_id").join(component, "node").withColumn("salt", salt("node", MEMBER_SALTS))
+    # a component's name goes to each salt that its members have
+    least = firsts.groupBy("component").agg(F.min("first_id").alias("component_id"), F.collect_set("salt").alias("salts"))
+    named = firsts.join(least.select("component", "component_id", F.explode("salts").alias("salt")), ["component", "salt"]).select("node", "component_id")
     out = rows.select("doc_id", "n", "node").join(named, "node", "left")
     component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"))
@@ -311,7 +312,8 @@ def _classified(docs: DataFrame, width: int, percent: int, id_col: str, text_col
             of = merged
             ends = links.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
             joined = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("into"))
-            moved = of.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+            places = joined.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(MEMBER_SALTS - 1).cast("long"))))
+            moved = of.withColumn("salt", salt("node", MEMBER_SALTS)).join(places, ["component", "salt"], "left").select("node", F.coalesce("into", "component").alias("component"))
             fresh = joined.select(F.col("component").alias("node"), F.col("into").alias("component")).join(of.select("node"), "node", "left_anti")
             merged = materialize(moved.unionByName(fresh), "merged")
 
