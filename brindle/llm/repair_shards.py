@@ -48,9 +48,8 @@ SLOT_BITS = 18
 FACTOR = {np.dtype(np.uint32): np.uint32(0x9E3779B1), np.dtype(np.uint64): np.uint64(0x9E3779B97F4A7C15)}
 
 
-def runs_to_take(hits: np.ndarray) -> np.ndarray:
-    """Places to replace: of hits that overlap (neighbours), every other one from the left."""
-    at = np.flatnonzero(hits)
+def runs_to_take(at: np.ndarray) -> np.ndarray:
+    """Places to replace: of ascending places that overlap (neighbours), every other one from the left."""
     if not len(at):
         return at
     begins = np.ones(len(at), bool)
@@ -60,32 +59,40 @@ def runs_to_take(hits: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, first: int, least: int = LEAST, most: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k stands for the pair rules[k], written as symbol first + k.  Rounds go on until no pair is frequent."""
-    seq, rules, n_rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], 0
+    """(symbols, rules): rule k stands for the pair rules[k], written as symbol first + k.  Rounds go on until no pair is frequent.
+
+    A round that took all frequent pairs leaves none but those with one of its own symbols, so the next one looks at these alone.
+    """
+    seq, rules, n_rules, newest = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], 0, 0
     narrow = first <= 0xFFFF
+    kind, shift = (np.dtype(np.uint32), np.uint32(16)) if narrow else (np.dtype(np.uint64), np.uint64(32))
     room = 0x10000 - first if narrow else 1 << 22
     while True:
         most = min(most, room - n_rules)
         if len(seq) < 2 or most <= 0:
             break
-        if narrow:
-            keys = (seq[:-1] << np.uint32(16)) | seq[1:]
+        if newest:
+            new = np.flatnonzero(seq >= newest)
+            where = np.unique(np.concatenate((new[new > 0] - 1, new[new < len(seq) - 1])))
+            keys = (seq[where].astype(kind) << shift) | seq[where + 1]
         else:
-            keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+            where, keys = None, (seq[:-1].astype(kind) << shift) | seq[1:]
         ordered = np.sort(keys)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(edges, append=len(ordered))
         often = counts >= least
         chosen, counts = ordered[edges[often]], counts[often]
-        if len(chosen) > most:
-            keep = np.argsort(-counts, kind="stable")[:most]
-            chosen = np.sort(chosen[keep])
         if not len(chosen):
             break
-        # a table of one key a slot finds the chosen pairs; a key whose slot is taken waits for a later round
+        whole = len(chosen) <= most
+        if not whole:
+            keep = np.argsort(-counts, kind="stable")[:most]
+            chosen = np.sort(chosen[keep])
+        # a table of one key a slot finds the chosen pairs; a key whose slot is taken waits for the next round
         slot_of = lambda k: ((k * FACTOR[k.dtype]) >> k.dtype.type(8 * k.itemsize - SLOT_BITS)).astype(np.int32)
         slots = slot_of(chosen)
         _, once = np.unique(slots, return_index=True)
+        whole &= len(once) == len(chosen)
         chosen, slots = chosen[np.sort(once)], slots[np.sort(once)]
         table, number = np.zeros(1 << SLOT_BITS, keys.dtype), np.zeros(1 << SLOT_BITS, np.uint32)
         table[slots], number[slots] = chosen, np.arange(len(chosen), dtype=np.uint32)
@@ -93,14 +100,16 @@ def compress(ids: np.ndarray, first: int, least: int = LEAST, most: int = RULES_
         hits = table[own] == keys
         if chosen[0]:  # an empty slot holds 0, which is also the pair (0, 0)
             hits &= keys != 0
-        shift = keys.dtype.type(16 if narrow else 32)
-        left, right = (chosen >> shift).astype(np.uint32), (chosen & ((keys.dtype.type(1) << shift) - keys.dtype.type(1))).astype(np.uint32)
-        take = runs_to_take(hits)
-        seq[take] = number[own[take]] + np.uint32(first + n_rules)
+        left, right = (chosen >> shift).astype(np.uint32), (chosen & ((kind.type(1) << shift) - kind.type(1))).astype(np.uint32)
+        found = np.flatnonzero(hits)
+        taken = runs_to_take(found if where is None else where[found])
+        of = own[taken] if where is None else own[np.searchsorted(where, taken)]
+        seq[taken] = number[of] + np.uint32(first + n_rules)
         keep = np.ones(len(seq), bool)
-        keep[take + 1] = False
+        keep[taken + 1] = False
         seq = seq[keep]
         rules.append(np.stack([left, right], 1))
+        newest = first + n_rules if whole else 0
         n_rules += len(chosen)
     return seq, np.concatenate(rules)
 
