@@ -82,6 +82,21 @@ class ByteFront(Front):
         """The text cut around special strings (odd places hold those strings)."""
         return self.special_cut.split(text) if self.special_cut and any(s in text for s in self.special) else [text]
 
+    _mixed = re.compile(r"[ \n]\s|\s[ \n]")
+    #: White space but for the space and the line end, and how these two may stand together.
+    _others = tuple(chr(k) for k in range(0x3001) if chr(k).isspace() and k not in (0x20, 0x0A))
+    _pairs = ("  ", " \n", "\n ", "\n\n")
+
+    def lines(self, segment: str) -> list[tuple[str, list[str]]]:
+        """Chunks of each line, or of the whole segment where white space stands together.
+
+        A lone line end is a pre-token of its own, so lines encode apart; where no white space is beside another, spaces cut plainly.
+        """
+        if any(x in segment for x in self._pairs) or (any(x in segment for x in self._others) and self._mixed.search(segment)):
+            return [self.chunks(segment)]
+        cut = [line.split(" ") for line in segment.split("\n")]
+        return [(parts[0], parts[1:]) for parts in cut]
+
     def chunks(self, segment: str) -> tuple[str, list[str]]:
         """First chunk, and the others without the single space before each.
 
@@ -143,6 +158,7 @@ class ByteEncoder:
         self.whole, _ = whole_tokens(self.front)
         self.merge = fast_ids(self.front)
         self.back = {ord(c): b for b, c in ALPHABET.items()}
+        self.newline = as_bytes(self.piece_ids("\n"))
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -166,21 +182,25 @@ class ByteEncoder:
 
     def encode(self, text: str) -> bytes:
         got: list[bytes] = []
+        first, later, newline = self.first, self.later, self.newline
         for k, segment in enumerate(self.front.segments(text)):
             if k % 2:
                 got.append(as_bytes([self.front.special[segment]]))
             elif segment:
-                head, rest = self.front.chunks(segment)
-                if (x := self.first.get(head)) is None:
-                    x = self.first[head] = self.ids_of(head)
-                got.append(x)
-                later = self.later
-                new = {*rest}.difference(later)
+                lines = self.front.lines(segment)
+                new = set().union(*[rest for _, rest in lines]).difference(later)
                 for c in new:
                     later[c] = self.ids_of(c, " ")
-                got += map(later.__getitem__, rest)
+                for head, rest in lines:
+                    if (x := first.get(head)) is None:
+                        x = self.ids_of(head)
+                        if len(head) <= CACHE_LENGTH:
+                            first[head] = x
+                    got.append(x)
+                    got += map(later.__getitem__, rest)
+                    got.append(newline)
+                got.pop()  # line ends stand between lines
                 forget_long(later, new)
-                forget_long(self.first, {head})
         if len(self.later) > CACHE_CHUNKS:
             self.later.clear()
         if len(self.first) > CACHE_CHUNKS // 4:
