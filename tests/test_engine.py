@@ -16,7 +16,7 @@ from brindle.functions.scalars import erf
 from brindle.operators import joins
 from brindle.operators.relational import set_operation
 from brindle.plans.iterate import kmeans, pagerank
-from brindle.plans.sqlfront import Engine, rewrite_functions, rewrite_quantified, set_null_order
+from brindle.plans.sqlfront import Engine, rewrite_functions, rewrite_limited, rewrite_quantified, set_null_order
 from brindle.sources import io
 from brindle.streaming.windows import windowed_counts
 
@@ -36,6 +36,29 @@ def test_null_order_pass():
     assert set_null_order("SELECT rank() OVER (PARTITION BY a ORDER BY f(b, c) DESC) FROM t") == "SELECT rank() OVER (PARTITION BY a ORDER BY f(b, c) DESC NULLS FIRST) FROM t"
 
 
+def test_limit_pass():
+    assert rewrite_limited("SELECT (SELECT a FROM t WHERE t.k = u.k ORDER BY b DESC, a LIMIT 1) FROM u") == "SELECT (SELECT * EXCEPT (__order0) FROM (SELECT a, b AS __order0 FROM t WHERE t.k = u.k ORDER BY __order0 DESC, a LIMIT 1)) FROM u"
+    assert rewrite_limited("SELECT (SELECT a + b FROM t ORDER BY b LIMIT 1)") == "SELECT (SELECT * EXCEPT (__order0) FROM (SELECT a + b, b AS __order0 FROM t ORDER BY __order0 LIMIT 1))"
+    for sql in ("SELECT (SELECT -a AS b FROM t ORDER BY b, 1 LIMIT 1)", "SELECT (SELECT a FROM t ORDER BY b)", "SELECT a FROM t ORDER BY b LIMIT 1", "SELECT (SELECT DISTINCT a FROM t ORDER BY a LIMIT 1)"):
+        assert rewrite_limited(sql) == sql
+    assert rewrite_limited("SELECT (SELECT a FROM t ORDER BY b LIMIT 1)", lambda body: True) == "SELECT (SELECT a FROM t ORDER BY b LIMIT 1)"
+
+
+def test_correlated_limits_rank_by_their_order(spark, sf):
+    e = Engine(spark, sf)
+    for columns, order in (("o_orderkey", "o_totalprice DESC, o_orderkey"), ("o_totalprice - o_orderkey", "o_orderkey DESC NULLS LAST"), ("o_orderkey AS k", "abs(o_totalprice - 200000), k")):
+        sql = f"SELECT c_custkey, (SELECT {columns} FROM orders WHERE o_custkey = c_custkey ORDER BY {order} LIMIT 1) AS best FROM customer"
+        df = e.sql(sql)
+        ranks = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number" in line]
+        assert ranks and all(" ASC NULLS" in line or " DESC NULLS" in line for line in ranks)
+        duck = duckdb.connect()
+        for t in ("customer", "orders"):
+            duck.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(duck.sql(sql).fetchall(), key=str)
+    two = e.sql("SELECT c_custkey, b.* FROM customer, LATERAL (SELECT o_orderkey AS k FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice, o_orderkey LIMIT 2) b")
+    assert two.columns == ["c_custkey", "k"] and "__order0" not in two.columns
+
+
 @pytest.mark.parametrize("right", [[2, 3], [2, None], []])
 @pytest.mark.parametrize("op", ["=", "<>", ">=", "<"])
 @pytest.mark.parametrize("quantifier", ["ANY", "ALL"])
