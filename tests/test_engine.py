@@ -17,6 +17,7 @@ from brindle.operators import joins
 from brindle.operators.relational import set_operation
 from brindle.plans.iterate import kmeans, pagerank
 from brindle.plans.sqlfront import Engine, rewrite_functions, rewrite_limited, rewrite_quantified, set_null_order
+from brindle.queries import registry
 from brindle.sources import io
 from brindle.streaming.windows import windowed_counts
 
@@ -59,6 +60,18 @@ def test_correlated_limits_rank_by_their_order(spark, sf):
     assert two.columns == ["c_custkey", "k"] and "__order0" not in two.columns
 
 
+def test_between_leaves_joins_in_order(spark, sf):
+    """No product of customers and lines, which only orders link."""
+    e = Engine(spark, sf)
+    for name in ("star_nations_by_year", "star_brand_by_year"):
+        plan = registry.load()[0][name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Inner," in plan and not [line for line in plan.split("\n") if line.strip(" :+-") in ("Join Inner", "Join Cross")]
+    assert spark.conf.get("spark.sql.legacy.duplicateBetweenInput") == "false"
+    # computed once: two draws would pass 56,250 rows or so
+    n = e.sql("SELECT count(*) FROM range(100000) WHERE rand() BETWEEN 0.25 AND 0.75").first()[0]
+    assert 49000 < n < 51000
+
+
 @pytest.mark.parametrize("right", [[2, 3], [2, None], []])
 @pytest.mark.parametrize("op", ["=", "<>", ">=", "<"])
 @pytest.mark.parametrize("quantifier", ["ANY", "ALL"])
