@@ -129,15 +129,23 @@ class WordFront(Front):
         return text.split()
 
     def pieces(self, chunk: str) -> list[str]:
-        """Pre-tokens of a chunk (without special strings) in the byte alphabet."""
+        """Pre-tokens of a chunk (without special strings) in the byte alphabet; plain words, and words with one mark behind, need no pattern."""
         if chunk.isascii():
             low = chunk.lower()
+            if low.isalpha():
+                return [low]
+            if low[-1] in MARKS and (word := low[:-1]).isalpha():
+                return [word, low[-1]]
         elif max(chunk) < "ɐ" and "İ" not in chunk:
             low = unicodedata.normalize("NFC", chunk).lower()
+            if low.isalpha():
+                return [as_alphabet(low)]
+            if low[-1] in MARKS and (word := low[:-1]).isalpha():
+                return [as_alphabet(word), low[-1]]
         else:
             low = self.library.normalizer.normalize_str(chunk)
             return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(low)]
-        return [as_alphabet(p) for p in self._pieces.findall(low)]
+        return [p if p.isascii() and p.isprintable() else as_alphabet(p) for p in self._pieces.findall(low)]
 
 
 def fast_ids(front: ByteFront):
@@ -228,6 +236,7 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.front = WordFront(path)
+        self.front.vocab, self.front.merges = {}, []  # the library's model has its own
         self.tokenize = self.front.library.model.tokenize
         self.known: dict[str, bytes] = {}
 
@@ -236,18 +245,9 @@ class WordEncoder:
             ids = self.front.library.encode(chunk, add_special_tokens=False).ids
         else:
             tokenize = self.tokenize
-            ids = [t.id for p in self.quick(chunk) for t in tokenize(p)]
+            ids = [t.id for p in self.front.pieces(chunk) for t in tokenize(p)]
         return as_bytes(ids)
 
-    def quick(self, chunk: str) -> list[str]:
-        """Pre-tokens; plain words, and words with one mark behind, need no pattern."""
-        if chunk.isascii():
-            if chunk.isalpha():
-                return [chunk.lower()]
-            if chunk[-1] in MARKS and (word := chunk[:-1]).isalpha():
-                return [word.lower(), chunk[-1]]
-        return self.front.pieces(chunk)
-
     def encode(self, text: str) -> bytes:
         chunks, known = self.front.chunks(text), self.known
         if len(known) > CACHE_CHUNKS:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, documents, materialize, materialize_counted, scratch, slices, texts_of
+from .common import WordCache, documents, lean, materialize, materialize_counted, scratch, slices, texts_of
 from .components import connected_components
 
 #: 42 bands of 6: a pair at 0.8 is missed once in 3e5, one at 0.85 once in 4e8.
@@ -140,7 +140,7 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                     keys.append(bands(sketch(x)).view(np.int64) if len(x) else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "node", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, node long, bands array<long>")
 
 
 def _bitmap(nodes: DataFrame) -> bytes:
@@ -180,7 +180,7 @@ def _sets(docs: DataFrame, width: int, wanted: DataFrame, classes: DataFrame) ->
                     blob.append(squeezed(x, press))
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(blob, pa.binary())], names=["node", "blob"])
 
-    built = docs.mapInArrow(run, "node long, blob binary")
+    built = docs.mapInArrow(lean(run), "node long, blob binary")
     # copies in other partitions: one stays (partial aggregation comes first, so a hot class is not gathered)
     return materialize(built.groupBy("node").agg(F.any_value("blob").alias("blob")), "sets")
 
@@ -201,7 +201,7 @@ def _prefix_pairs(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 node, component = (pa.array(np.full(len(x), batch.column(c)[r].as_py())) for c in (0, 1))
                 yield pa.RecordBatch.from_arrays([node, component, pa.array(np.full(len(x), len(x))), pa.array(x.astype(np.int64))], names=["node", "component", "n", "shingle"])
 
-    each, _ = materialize_counted(live.join(sets, "node").select("node", "component", "blob").mapInArrow(run, "node long, component long, n long, shingle long"), "shingles")
+    each, _ = materialize_counted(live.join(sets, "node").select("node", "component", "blob").mapInArrow(lean(run), "node long, component long, n long, shingle long"), "shingles")
     often = each.groupBy("shingle").agg(F.count("*").alias("often"))
     order = Window.partitionBy("node").orderBy("often", "shingle")
     ranked = each.join(often, "shingle").withColumn("place", F.row_number().over(order))
@@ -249,7 +249,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
                     b.append(batch.column(1)[r].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    links, seen = materialize_counted(joined.mapInArrow(run, "a long, b long"), "links")
+    links, seen = materialize_counted(joined.mapInArrow(lean(run), "a long, b long"), "links")
     return links, seen["rows"]
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import documents, materialize, slices, texts_of, tokenizer_path
+from .common import documents, lean, materialize, slices, texts_of, tokenizer_path
 
 #: Tokens in a sequence; salt groups for ranks within a length.
 ROOM, SALTS = 2048, 256
@@ -49,7 +49,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int = 1, room: int = ROOM,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return kept.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, list[int]]]:

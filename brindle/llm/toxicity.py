@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, documents, drop_table, materialize_counted, slices, texts_of
+from .common import WordCache, documents, drop_table, lean, materialize_counted, slices, texts_of
 
 BITS = 22
 MOST_TOXIC, MOST_CLEAN, MOST_FEATURE_BYTES = 8_000, 10_000, 256 << 20
@@ -127,12 +127,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, params: Ftrl = Ftrl
             at, w, bias = at[:0], w[:0], float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["at", "w", "bias"])
 
-    made = joined.mapInArrow(featurize, "doc_id long, toxic int, weight double, features binary")
+    made = joined.mapInArrow(lean(featurize), "doc_id long, toxic int, weight double, features binary")
     made, seen = materialize_counted(made, "toxicity", F.coalesce(F.sum(F.octet_length("features")), F.lit(0)).alias("bytes"))
     features = made
     if seen["bytes"] > most_bytes:  # long texts: fewer of them, of both kinds alike
         features = made.where(F.xxhash64("doc_id", F.lit(23)).cast("double") / 2.0**64 + 0.5 < most_bytes / seen["bytes"])
-    got = features.repartition(1).mapInArrow(fit, "at binary, w binary, bias double").collect()
+    got = features.repartition(1).mapInArrow(lean(fit), "at binary, w binary, bias double").collect()
     drop_table(made)
     if not got:
         return np.zeros(0, np.uint32), np.zeros(0, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column:
                     out.append(sigmoid(float(table[np.unique(f)].sum(dtype=np.float64)) + bias))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:

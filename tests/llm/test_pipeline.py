@@ -16,7 +16,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from brindle.llm import queries, toxicity
+from brindle.llm import common, queries, toxicity
 from brindle.llm.common import tokenizer_path
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -39,6 +39,19 @@ def test_stages_keep_columns_and_take_effect(spark, sf):
     assert sizes[0] >= sizes[1] > sizes[2] == sizes[3] > 0.8 * sizes[0]
 
 
+def test_stages_python_steps_give_memory_back(spark, sf, monkeypatch):
+    """Workers stay idle beside the next stage, so every step trims its worker when a task ends."""
+    calls, steps = [], []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.lean(lambda batches: iter(batches))([1, 2])) == [1, 2] and calls == [1]
+    kind = type(spark.range(0))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, plain=kind.mapInArrow, **k: (steps.append(f), plain(self, f, *a, **k))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf)
+    assert len(steps) >= 6 and all(hasattr(f, "__wrapped__") for f in steps)
+
+
 def test_stage_on_odd_rows(spark, sf):
     rows = [(1, "same words here and there", "en", None, 5), (1, "same words here and there", "en", None, 5), (None, "same words here and there", None, "s", None), (None, None, None, None, None), (2, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
