@@ -16,7 +16,9 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,18 @@ PAIRS = 500_000
 NEVER = 1 << 30
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles within: what is made here has none."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 class TrieEncoder:
     def __init__(self, path: str):
         self.front = bpe.WordFront(path)
@@ -86,13 +100,8 @@ class TrieEncoder:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """ids of each distinct pre-token (strings of the byte alphabet)."""
-        collecting = gc.isenabled()
-        gc.disable()  # a trie is many small dicts without cycles; collecting while it grows doubles the time
-        try:
+        with uncollected():  # a trie is many small dicts without cycles; collecting while it grows doubles the time
             return self.walk(words)
-        finally:
-            if collecting:
-                gc.enable()
 
     def walk(self, words: Iterable[str]) -> dict[str, list[int]]:
         root: dict = {}
@@ -196,27 +205,54 @@ def id_bytes(path: str) -> IdBytes:
 
 
 class Digests:
-    """Chunk -> (count, ids as decimals, decoding); all three join over the chunks of a text."""
+    """Chunk -> (count, ids as decimals, decoding); all three join over the chunks of a text, and over the pre-tokens of a chunk."""
 
     def __init__(self, path: str):
-        self.trie, self.known = encoder(path), {}
+        self.trie, self.known, self.parts = encoder(path), {}, {}
+        self.decimal = {i: str(i) for i in self.trie.name}
+
+    def shown(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join([self.decimal[i] for i in ids]), self.trie.decode(ids)
+
+    def learn(self, fresh: set[str]) -> set[str]:
+        """Remembers the new chunks; pre-tokens that other chunks had aren't walked again.  Returns the new pre-tokens."""
+        known, parts, front = self.known, self.parts, self.trie.front
+        cut: dict[str, list[str]] = {}
+        for c in fresh:
+            if "<|" in c and any(s in c for s in front.special):
+                known[c] = self.shown(front.library.encode(c, add_special_tokens=False).ids)
+            else:
+                cut[c] = front.pieces(c)
+        new = {p for ps in cut.values() for p in ps}.difference(parts)
+        shown = self.shown
+        parts.update((p, shown(ids)) for p, ids in self.trie.encode_words(new).items())
+        for c, ps in cut.items():
+            known[c] = parts[ps[0]] if len(ps) == 1 else joined([parts[p] for p in ps])
+        return new
 
     def of(self, texts: list[str]) -> list[tuple[int, str, str]]:
         cut = [self.trie.front.chunks(t) for t in texts]
-        known = self.known
+        known, parts = self.known, self.parts
         if len(known) > bpe.CACHE_CHUNKS // 2:
             known.clear()
+        if len(parts) > bpe.CACHE_CHUNKS // 2:
+            parts.clear()
         fresh = set().union(*cut).difference(known)
-        decode = self.trie.decode
-        known.update((c, (len(ids), " ".join(map(str, ids)), decode(ids))) for c, ids in self.trie.encode_chunks(fresh).items())
-        out = []
-        for c in cut:
-            got = [known[x] for x in c]
-            out.append((sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
+        with uncollected():
+            new = self.learn(fresh)
+            out = [joined([*map(known.__getitem__, c)]) for c in cut]
         bpe.forget_long(known, fresh)
+        bpe.forget_long(parts, new)
         return out
 
 
+COUNT, IDS, DECODED = itemgetter(0), itemgetter(1), itemgetter(2)
+
+
+def joined(got: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    return sum(map(COUNT, got)), " ".join(map(IDS, got)), " ".join(map(DECODED, got))
+
+
 @lru_cache(maxsize=2)
 def digests(path: str) -> Digests:
     return Digests(path)

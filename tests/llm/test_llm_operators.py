@@ -76,6 +76,19 @@ def test_whole_tokens_are_proved():
         assert [x.id for x in front.library.model.tokenize(t)] == [whole[t]]
 
 
+def test_op4_walks_a_pre_token_once(monkeypatch):
+    """Pre-tokens that earlier chunks had are remembered, in this batch and in later ones."""
+    d, walked = trie_bpe.Digests(WORD), []
+    monkeypatch.setattr(d.trie, "encode_words", lambda words, plain=d.trie.encode_words: (walked.extend(words := [*words]), plain(words))[1])
+    library = tokenizers.Tokenizer.from_file(WORD)
+    texts = ["some words, here", "(Some) WORDS. here! \u00c9t\u00e9, \u00e9t\u00e9 it's x\x1cy", "words " + "z" * 90 + " <|endoftext|>here", "z" * 90]
+    for t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert d.of([t]) == [(len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+    assert Counter(walked)["words"] == Counter(walked)["some"] == 1
+    assert all(len(p) <= bpe.CACHE_LENGTH for p in d.parts)
+
+
 def test_op4_digests(odd, empty):
     library = tokenizers.Tokenizer.from_file(WORD)
     want = []
